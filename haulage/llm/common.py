@@ -29,8 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffle_files_end_with_query(spark: SparkSession):
-    """Shuffle files of a finished write are of no more use: let Spark delete them at once."""
+def shuffle_files_end_with_query(spark: SparkSession):
+    """Shuffle files of a finished query are of no more use: let Spark delete them at once."""
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
@@ -55,7 +55,7 @@ class Scratch:
         """Write df and return the table read back."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        with _shuffle_files_end_with_query(self.spark):
+        with shuffle_files_end_with_query(self.spark):
             df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, components, ship
+from .common import BROADCAST_ROWS, Scratch, components, ship, shuffle_files_end_with_query
 from .words import blocks, shingle_sets
 
 BITS = 512
@@ -48,7 +48,7 @@ def _sets_job(words: int, frequent: np.ndarray, need: int, of: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            n, f1, f2, excess, flat, roots = [], [], [], [], [], []
+            n, f1, f2, excess, flat, hung = [], [], [], [], [], []
             bits = []
             for _, b in blocks(batch.column("text").to_pylist(), lower=True):
                 for s in shingle_sets(b, words):
@@ -60,29 +60,25 @@ def _sets_job(words: int, frequent: np.ndarray, need: int, of: int):
                     bit[(s >> np.uint64(55)).astype(np.int64)] = 1
                     bits.append(np.packbits(bit).view("<i8"))
                     excess.append(m - int(bit.sum()))
-                    flat.append(s.view(np.int64))
-                    take = m - (need * m + of - 1) // of + 1 if m else 0
+                    hung.append(m - (need * m + of - 1) // of + 1 if m else 0)
                     if m and len(frequent):  # rare shingles by hash, then frequent ones, the most frequent last
                         at = np.minimum(np.searchsorted(sorted_frequent, s), len(frequent) - 1)
                         common = sorted_frequent[at] == s
-                        rare = s[~common]
-                        first = rare[:take] if len(rare) >= take else np.concatenate((rare, s[common][np.argsort(-sorted_rank[at[common]], kind="stable")][: take - len(rare)]))
-                    else:
-                        first = s[:take]
-                    roots.append(first.view(np.int64))
+                        s = np.concatenate((s[~common], s[common][np.argsort(-sorted_rank[at[common]], kind="stable")]))
+                    flat.append(s.view(np.int64))
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32)), pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64)))
             wide = np.stack(bits) if bits else np.empty((0, _LONGS), np.int64)
-            cols = [ids, pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(excess, pa.int64()), lists(flat), lists(roots), *[pa.array(wide[:, i]) for i in range(_LONGS)]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "excess", "shingles", "roots", *[f"b{i}" for i in range(_LONGS)]])
+            cols = [ids, pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(excess, pa.int64()), lists(flat), pa.array(hung, pa.int32()), *[pa.array(wide[:, i]) for i in range(_LONGS)]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "excess", "shingles", "hung", *[f"b{i}" for i in range(_LONGS)]])
 
     return run
 
 
-_SETS = "doc_id long, n long, f1 long, f2 long, excess long, shingles array<long>, roots array<long>, " + ", ".join(f"b{i} long" for i in range(_LONGS))
+_SETS = "doc_id long, n long, f1 long, f2 long, excess long, shingles array<long>, hung int, " + ", ".join(f"b{i} long" for i in range(_LONGS))
 
 
 def shingle_table(docs: DataFrame, words: int = 5, frequent: np.ndarray | None = None, need: int = 80, of: int = 100) -> DataFrame:
-    """The set of every row of docs, its digest, bitmap, and the shingles under whose roots it hangs."""
+    """The set of every row of docs in the common order, its digest, bitmap, and under how many of its first shingles it hangs."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_sets_job(words, frequent if frequent is not None else np.empty(0, np.uint64), need, of), _SETS)
@@ -97,7 +93,8 @@ def frequent_shingles(docs: DataFrame, words: int = 5, rows: int = SAMPLE_ROWS,
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30)))
     seen = shingle_table(some, words).where("n > 0").select("f1", F.explode("shingles").alias("s"))
     top = seen.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("k >= 3 and lo <> hi").orderBy(F.col("k").desc(), "s").select("s").limit(most)
-    got = top.toPandas()["s"].to_numpy(np.int64)  # at most ``most`` hashes
+    with shuffle_files_end_with_query(docs.sparkSession):
+        got = np.array([r["s"] for r in top.collect()], np.int64)  # at most ``most`` hashes
     return got.view(np.uint64)
 
 
@@ -117,16 +114,26 @@ def _as(df: DataFrame, prefix: str, *but: str) -> DataFrame:
 
 
 def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, need: int, of: int) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets reach the threshold."""
+    """Of the pairs (a, b) those whose bitmaps may, and whose whole sets do reach the threshold.
+
+    The set of b travels to a's once for each pair. Pairs are rows of two numbers: within the checked bound they
+    are broadcast to where the sets are read, beyond it sets and pairs meet by doc_id.
+    """
+    info = sets.select("doc_id", "n", "excess", *[f"b{i}" for i in range(_LONGS)])
     pairs = scratch.keep(pairs)
-    who = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    who = scratch.keep(who)
-    own = sets.select("doc_id", "n", "shingles").join(F.broadcast(who) if who.count() <= BROADCAST_ROWS else who, "doc_id", "left_semi")
-    own = scratch.keep(own)
-    met = pairs.join(_as(own, "x_").withColumnRenamed("x_doc_id", "a"), "a").join(_as(own, "y_").withColumnRenamed("y_doc_id", "b"), "b")
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    met = _as(info, "x_").join(near(pairs), F.col("x_doc_id") == F.col("a"))
+    may = scratch.keep(met.join(_as(info, "y_"), F.col("y_doc_id") == F.col("b")).where(_may("x_", "y_", "n", "n", need, of)).select("a", "b").distinct())
+    own = sets.select("doc_id", "n", "shingles")
+    y = _as(own, "y_").join(near(may), F.col("y_doc_id") == F.col("b")).drop("y_doc_id")
+    x = _as(own, "x_").join(near(may.select(F.col("a").alias("_a")).distinct()), F.col("x_doc_id") == F.col("_a"), "left_semi")
     both = F.size(F.array_intersect("x_shingles", "y_shingles"))
-    out = scratch.keep(met.where(both * of >= (F.col("x_n") + F.col("y_n") - both) * need).select("a", "b").distinct())
-    scratch.drop(pairs, who, own)
+    out = y.join(x, F.col("x_doc_id") == F.col("a")).where(both * of >= (F.col("x_n") + F.col("y_n") - both) * need).select("a", "b").distinct()
+    out = scratch.keep(out)
+    scratch.drop(pairs, may)
     return out
 
 
@@ -141,19 +148,17 @@ def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -
     # one node for each distinct set, named by its least doc_id
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     nodes = scratch.keep(nodes)
-    hung = sets.where("n > 0 and doc_id is not null").select("doc_id", "f1", F.explode("roots").alias("root"))
+    hung = sets.where("n > 0 and doc_id is not null").select("doc_id", "f1", "n", F.explode(F.slice("shingles", F.lit(1), F.col("hung"))).alias("root"))
     # roots of one set alone lead nowhere
     shared = hung.groupBy("root").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("root")
     shared = scratch.keep(shared)
-    hung = hung.select("doc_id", "root").join(shared, "root").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
-    info = sets.select("doc_id", "n", "excess", *[f"b{i}" for i in range(_LONGS)]).dropDuplicates(["doc_id"])
-    tree = scratch.keep(hung.join(info, "doc_id"))
+    tree = hung.select("doc_id", "n", "root").join(shared, "root").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    tree = scratch.keep(tree)
     scratch.drop(shared)
     # first traversal: each root's least document against the root's others
-    least = tree.groupBy("root").agg(F.min("doc_id").alias("a"))
-    lead = least.join(_as(info, "l_"), F.col("a") == F.col("l_doc_id")).drop("l_doc_id")
-    met = _as(tree, "d_", "root").join(lead, "root").where((F.col("d_doc_id") != F.col("a")) & _may("d_", "l_", "n", "n", need, of))
-    links = _verify(scratch, met.select("a", F.col("d_doc_id").alias("b")).distinct(), sets, need, of)
+    lead = tree.groupBy("root").agg(F.min(F.struct("doc_id", "n")).alias("l")).select("root", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"))
+    met = tree.join(lead, "root").where((F.col("doc_id") != F.col("a")) & (F.col("n") * of >= F.col("an") * need) & (F.col("an") * of >= F.col("n") * need))
+    links = _verify(scratch, met.select("a", F.col("doc_id").alias("b")).distinct(), sets, need, of)
     first = scratch.keep(components(scratch, links))
     # second traversal: nodes of one class each, pairs of nodes of different classes
     classed = tree.join(first, F.col("doc_id") == F.col("node"), "left").withColumn("cls", F.coalesce("component", "doc_id")).drop("node", "component")
@@ -163,7 +168,8 @@ def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -
     classed = classed.join(held, ["root", "cls"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(of / need)) + 1e-9).cast("int")
     classed = classed.withColumn("band", band).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / NODE)))
-    classed = scratch.keep(classed.drop("k"))
+    bits = sets.select("doc_id", "excess", *[f"b{i}" for i in range(_LONGS)]).dropDuplicates(["doc_id"])
+    classed = scratch.keep(classed.drop("k").join(bits, "doc_id"))
     at = ["root", "band", "cls", "part"]
     inner = classed.groupBy(*at).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("excess").alias("excess"), *[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LONGS)])
     x, y = _as(inner, "x_"), _as(inner, "y_").withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.col("y_band") - F.col("step"))
