@@ -46,7 +46,7 @@ def _sets_job(words: int, frequent: np.ndarray, need: int, of: int):
     sorted_frequent, sorted_rank = frequent[by_hash], rank[by_hash]
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             ids = batch.column("doc_id")
             n, f1, f2, excess, flat, hung = [], [], [], [], [], []
             bits = []
@@ -152,9 +152,10 @@ def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -
     # roots of one set alone lead nowhere
     shared = hung.groupBy("root").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("root")
     shared = scratch.keep(shared)
-    tree = hung.select("doc_id", "n", "root").join(shared, "root").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
-    tree = scratch.keep(tree)
-    scratch.drop(shared)
+    # written before the next join, which must not move below explode(): sets are long, rows of the tree are not
+    met = scratch.keep(hung.select("doc_id", "n", "root").join(shared, "root"))
+    tree = scratch.keep(met.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct())
+    scratch.drop(shared, met)
     # first traversal: each root's least document against the root's others
     lead = tree.groupBy("root").agg(F.min(F.struct("doc_id", "n")).alias("l")).select("root", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"))
     met = tree.join(lead, "root").where((F.col("doc_id") != F.col("a")) & (F.col("n") * of >= F.col("an") * need) & (F.col("an") * of >= F.col("n") * need))
