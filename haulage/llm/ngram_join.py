@@ -120,7 +120,7 @@ def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, need: int, of:
     are broadcast to where the sets are read, beyond it sets and pairs meet by doc_id.
     """
     info = sets.select("doc_id", "n", "excess", *[f"b{i}" for i in range(_LONGS)])
-    pairs = scratch.keep(pairs)
+    pairs = pairs if hasattr(pairs, "_kept_at") else scratch.keep(pairs)
 
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -169,16 +169,20 @@ def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -
     classed = classed.join(held, ["root", "cls"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(of / need)) + 1e-9).cast("int")
     classed = classed.withColumn("band", band).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / NODE)))
-    bits = sets.select("doc_id", "excess", *[f"b{i}" for i in range(_LONGS)]).dropDuplicates(["doc_id"])
-    classed = scratch.keep(classed.drop("k").join(bits, "doc_id"))
+    classed = scratch.keep(classed.drop("k"))
+    scratch.drop(tree)
     at = ["root", "band", "cls", "part"]
-    inner = classed.groupBy(*at).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("excess").alias("excess"), *[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LONGS)])
+    bits = sets.select("doc_id", "excess", *[f"b{i}" for i in range(_LONGS)]).dropDuplicates(["doc_id"])
+    inner = classed.join(bits, "doc_id").groupBy(*at).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("excess").alias("excess"), *[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LONGS)])
+    inner = scratch.keep(inner)
     x, y = _as(inner, "x_"), _as(inner, "y_").withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.col("y_band") - F.col("step"))
     pairs = x.join(y, (F.col("x_root") == F.col("y_root")) & (F.col("x_band") == F.col("at")) & (F.col("x_cls") != F.col("y_cls")) & ((F.col("step") == 1) | (F.col("x_cls") < F.col("y_cls"))) & _may("x_", "y_", "lo", "hi", need, of))
     pairs = scratch.keep(pairs.select(*[f"x_{c}" for c in at], *[f"y_{c}" for c in at]))
-    leaf = classed.select(*at, "doc_id", "n", "excess", *[f"b{i}" for i in range(_LONGS)])
-    down = pairs.join(_as(leaf, "x_"), [f"x_{c}" for c in at]).join(_as(leaf, "y_"), [f"y_{c}" for c in at]).where(_may("x_", "y_", "n", "n", need, of))
-    down = down.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    scratch.drop(inner)
+    # leaves: documents below the node pairs that are left; their own bitmaps are compared before their sets are
+    down = pairs.join(_as(classed, "x_"), [f"x_{c}" for c in at]).join(_as(classed, "y_"), [f"y_{c}" for c in at]).where((F.col("x_n") * of >= F.col("y_n") * need) & (F.col("y_n") * of >= F.col("x_n") * need))
+    down = scratch.keep(down.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct())
+    scratch.drop(classed, pairs)
     more = _verify(scratch, down, sets, need, of)
     # classes of the first traversal are joined by the second's links
     name = first.select("node", "component")
