@@ -50,8 +50,8 @@ def repeated(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS, **ho
     keys = all_.select("h", place.alias("p"), F.lit(False).alias("pair")).unionByName(all_.where("not last").select(F.col("after").alias("h"), place.alias("p"), F.lit(True).alias("pair")))
     again = keys.groupBy("pair", "h").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first")).where("n > 1")
     again = scratch.keep(again)
-    own = again.where("not pair").select("h", "first")
-    pair = again.where("pair").select(F.col("h").alias("after"), F.lit(True).alias("linked"))
+    own = again.where("not pair").select("h", "first").hint("merge")  # the same plan at every size; Spark splits hot hashes
+    pair = again.where("pair").select(F.col("h").alias("after"), F.lit(True).alias("linked")).hint("merge")
     # only documents with a repeated chunk go on
     hit = all_.join(own, "h").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.lo") == F.col("lo"))))
     hit = hit.join(pair, "after", "left")
@@ -75,14 +75,14 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = F
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))
     rows = docs.withColumn("_th", F.xxhash64("text"))
     lines = lambda: F.split("text", "\n")
-    texts = rows.select("doc_id", "_th", "text").join(wanted, on).select("doc_id", "_th", lines().alias("l"), F.explode("wanted").alias("w"))
+    texts = rows.select("doc_id", "_th", "text").join(wanted.hint("merge"), on).select("doc_id", "_th", lines().alias("l"), F.explode("wanted").alias("w"))
     texts = texts.select("doc_id", "_th", F.col("w.c.lo").alias("lo"), F.col("w.c.hi").alias("hi"), F.col("w.c.h").alias("h"), "w.is_first", F.array_join(F.slice("l", F.col("w.c.lo") + 1, F.col("w.c.hi") - F.col("w.c.lo") + 1), "\n").alias("bytes"))
     # every text of one hash is compared with the first occurrence's: equal bytes are removed, others (a collision) stay
     same = texts.groupBy("h", "bytes").agg(F.max("is_first").alias("ok")).where("ok").select("h", F.xxhash64("bytes", F.lit(1)).alias("h2"), F.octet_length("bytes").alias("n"))
     sure = texts.where("not is_first").select("doc_id", "_th", "lo", "hi", "h", F.xxhash64("bytes", F.lit(1)).alias("h2"), F.octet_length("bytes").alias("n")).join(same, ["h", "h2", "n"], "left_semi")
     gone = sure.groupBy("doc_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("gone"))
     gone = scratch.keep(gone.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "gone"))
-    out = rows.join(gone, on, "left")
+    out = rows.join(gone.hint("merge"), on, "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines(), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
     out = out.withColumn("text", text)
     if not keep_empty:
