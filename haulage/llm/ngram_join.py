@@ -36,6 +36,8 @@ _LONGS = BITS // 64
 #: Frequent shingles are looked for in about so many documents (or 16 times the root of all), and at most so many are kept.
 SAMPLE_ROWS = 8_000
 FREQUENT = 200_000
+#: One in so many shingles is compared before whole sets are.
+PART = 4
 #: Documents of one class under one root make nodes of about this many.
 NODE = 64
 
@@ -127,12 +129,21 @@ def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, need: int, of:
 
     met = _as(info, "x_").join(near(pairs), F.col("x_doc_id") == F.col("a"))
     may = scratch.keep(met.join(_as(info, "y_"), F.col("y_doc_id") == F.col("b")).where(_may("x_", "y_", "n", "n", need, of)).select("a", "b").distinct())
-    own = sets.select("doc_id", "n", "shingles")
-    y = _as(own, "y_").join(near(may), F.col("y_doc_id") == F.col("b")).drop("y_doc_id")
-    x = _as(own, "x_").join(near(may.select(F.col("a").alias("_a")).distinct()), F.col("x_doc_id") == F.col("_a"), "left_semi")
-    both = F.size(F.array_intersect("x_shingles", "y_shingles"))
-    out = y.join(x, F.col("x_doc_id") == F.col("a")).where(both * of >= (F.col("x_n") + F.col("y_n") - both) * need).select("a", "b").distinct()
-    out = scratch.keep(out)
+    # a quarter of the shingles first: what they share, and all of the rest at most, bounds the overlap
+    part = F.filter("shingles", lambda h: F.pmod(h, F.lit(PART)) == 0)
+    reach = lambda both, x, y: both * (need + of) >= (x + y) * need
+
+    def meet(own: DataFrame, pairs: DataFrame) -> DataFrame:
+        y = _as(own, "y_").join(near(pairs), F.col("y_doc_id") == F.col("b")).drop("y_doc_id")
+        x = _as(own, "x_").join(near(pairs.select(F.col("a").alias("_a")).distinct()), F.col("x_doc_id") == F.col("_a"), "left_semi")
+        return y.join(x, F.col("x_doc_id") == F.col("a")).withColumn("both", F.size(F.array_intersect("x_s", "y_s")))
+
+    some = meet(sets.select("doc_id", "n", part.alias("s")), may)
+    most = F.col("both") + F.least(F.col("x_n") - F.size("x_s"), F.col("y_n") - F.size("y_s"))
+    left = scratch.keep(some.where(reach(most, F.col("x_n"), F.col("y_n"))).select("a", "b").distinct())
+    full = meet(sets.select("doc_id", "n", F.col("shingles").alias("s")), left)
+    out = scratch.keep(full.where(reach(F.col("both"), F.col("x_n"), F.col("y_n"))).select("a", "b").distinct())
+    scratch.drop(left)
     scratch.drop(pairs, may)
     return out
 
