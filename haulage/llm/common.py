@@ -59,7 +59,8 @@ class Scratch:
             df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
-        gc.collect()
+        gc.collect()  # what no table refers to any more: Spark then deletes its shuffle files, on the executors too
+        self.spark._jvm.java.lang.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
