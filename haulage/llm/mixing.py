@@ -26,8 +26,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3)
     """(source, source_size) -> the same with ``target`` and ``expected`` copies.
 
     Closed form of sharing again and again: sources are capped in the order of cap / weight, and the level
-    that the rest share is the first that lies below the next cap. One row for each source goes through the
-    windows; documents do not.
+    that the rest share is the first that lies below the next cap (levels fall from there on, so it is the largest
+    such level). One row for each source goes through the windows; documents do not.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3)
     s = s.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("rest", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.col("left") / F.col("rest"))
-    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(every))
+    s = s.withColumn("water", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(every))
     s = s.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("w"), F.col("cap"))))
     return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("expected"))
 

@@ -119,7 +119,7 @@ WITH docs AS (
   SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM weighed
   WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= cap / w THEN level END) OVER () * w, cap)) AS target,
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= cap / w THEN level END) OVER () * w, cap)) AS target,
     CAST(CAST('0x' || substr(md5('mix' || coalesce(source, chr(0))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
   FROM levels
 ), ranked AS (

@@ -451,6 +451,12 @@ def test_mix_meets_targets(docs, rows):
     assert sorted(out) == sorted(mixing.mix(docs).collect())
 
 
+@pytest.mark.parametrize("sizes", [(100, 100, 100, 100, 100, 100), (1000, 1, 1, 1), (1, 1000, 2, 500), (3, 200, 200)])
+def test_mix_shares_below_and_above_the_caps(spark, sizes):
+    data = [(i * 100 + j, "w " * (n // 10 + (j < n % 10)), "en", f"s{i}", 0) for i, n in enumerate(sizes) for j in range(10)]
+    check_mix(data, mixing.mix(spark.createDataFrame(data, SCHEMA)).collect())
+
+
 def test_mix_of_odd_rows(odd, none):
     check_mix(ODD, mixing.mix(odd.drop("size", "copies")).collect())
     assert mixing.mix(none).collect() == []
