@@ -42,13 +42,13 @@ PART = 4
 NODE = 64
 
 
-def _sets_job(words: int, frequent: np.ndarray, need: int, of: int):
+def _sets_job(words: int, frequent: np.ndarray, need: int, of: int, whole: bool):
     rank = np.arange(len(frequent))
     by_hash = np.argsort(frequent)
     sorted_frequent, sorted_rank = frequent[by_hash], rank[by_hash]
 
     def run(batches):
-        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             ids = batch.column("doc_id")
             n, f1, f2, excess, flat, hung = [], [], [], [], [], []
             bits = []
@@ -67,23 +67,23 @@ def _sets_job(words: int, frequent: np.ndarray, need: int, of: int):
                         at = np.minimum(np.searchsorted(sorted_frequent, s), len(frequent) - 1)
                         common = sorted_frequent[at] == s
                         s = np.concatenate((s[~common], s[common][np.argsort(-sorted_rank[at[common]], kind="stable")]))
-                    flat.append(s.view(np.int64))
+                    flat.append((s if whole else s[: hung[-1]]).view(np.int64))
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32)), pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64)))
             wide = np.stack(bits) if bits else np.empty((0, _LONGS), np.int64)
-            cols = [ids, pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(excess, pa.int64()), lists(flat), pa.array(hung, pa.int32()), *[pa.array(wide[:, i]) for i in range(_LONGS)]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "excess", "shingles", "hung", *[f"b{i}" for i in range(_LONGS)]])
+            cols = [ids, pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(excess, pa.int64()), lists(flat), *[pa.array(wide[:, i]) for i in range(_LONGS)]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "excess", "shingles", *[f"b{i}" for i in range(_LONGS)]])
 
     return run
 
 
-_SETS = "doc_id long, n long, f1 long, f2 long, excess long, shingles array<long>, hung int, " + ", ".join(f"b{i} long" for i in range(_LONGS))
+_SETS = "doc_id long, n long, f1 long, f2 long, excess long, shingles array<long>, " + ", ".join(f"b{i} long" for i in range(_LONGS))
 
 
-def shingle_table(docs: DataFrame, words: int = 5, frequent: np.ndarray | None = None, need: int = 80, of: int = 100) -> DataFrame:
-    """The set of every row of docs in the common order, its digest, bitmap, and under how many of its first shingles it hangs."""
+def shingle_table(docs: DataFrame, words: int = 5, frequent: np.ndarray | None = None, need: int = 80, of: int = 100, whole: bool = False) -> DataFrame:
+    """The set of every row of docs: its size, digest and bitmap, and in ``shingles`` the first ones in the common order under which it hangs, or the whole set."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_sets_job(words, frequent if frequent is not None else np.empty(0, np.uint64), need, of), _SETS)
+    return rows.mapInArrow(_sets_job(words, frequent if frequent is not None else np.empty(0, np.uint64), need, of, whole), _SETS)
 
 
 def frequent_shingles(docs: DataFrame, words: int = 5, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> np.ndarray:
@@ -93,7 +93,7 @@ def frequent_shingles(docs: DataFrame, words: int = 5, rows: int = SAMPLE_ROWS,
         return np.empty(0, np.uint64)
     rows = max(rows, int(16 * n**0.5))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30)))
-    seen = shingle_table(some, words).where("n > 0").select("f1", F.explode("shingles").alias("s"))
+    seen = shingle_table(some, words, whole=True).where("n > 0").select("f1", F.explode("shingles").alias("s"))
     top = seen.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("k >= 3 and lo <> hi").orderBy(F.col("k").desc(), "s").select("s").limit(most)
     with shuffle_files_end_with_query(docs.sparkSession):
         got = np.array([r["s"] for r in top.collect()], np.int64)  # at most ``most`` hashes
@@ -115,11 +115,12 @@ def _as(df: DataFrame, prefix: str, *but: str) -> DataFrame:
     return df.select(*[F.col(c) if c in but else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, need: int, of: int) -> DataFrame:
+def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, need: int, of: int) -> DataFrame:
     """Of the pairs (a, b) those whose bitmaps may, and whose whole sets do reach the threshold.
 
-    The set of b travels to a's once for each pair. Pairs are rows of two numbers: within the checked bound they
-    are broadcast to where the sets are read, beyond it sets and pairs meet by doc_id.
+    Whole sets are several times their texts, so they are made from the texts again, and only for documents of
+    pairs whose bitmaps may. The set of b travels to a's once for each pair. Pairs are rows of two numbers: within
+    the checked bound they are broadcast to where texts and sets are read, beyond it they meet by doc_id.
     """
     info = sets.select("doc_id", "n", "excess", *[f"b{i}" for i in range(_LONGS)])
     pairs = pairs if hasattr(pairs, "_kept_at") else scratch.keep(pairs)
@@ -129,6 +130,9 @@ def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, need: int, of:
 
     met = _as(info, "x_").join(near(pairs), F.col("x_doc_id") == F.col("a"))
     may = scratch.keep(met.join(_as(info, "y_"), F.col("y_doc_id") == F.col("b")).where(_may("x_", "y_", "n", "n", need, of)).select("a", "b").distinct())
+    held = scratch.keep(may.select(F.col("a").alias("_held")).union(may.select("b")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near(held), F.col("doc_id") == F.col("_held"), "left_semi")
+    sets = scratch.keep(shingle_table(texts, words, whole=True).select("doc_id", "n", "shingles"))
     # a quarter of the shingles first: what they share, and all of the rest at most, bounds the overlap
     part = F.filter("shingles", lambda h: F.pmod(h, F.lit(PART)) == 0)
     reach = lambda both, x, y: both * (need + of) >= (x + y) * need
@@ -143,8 +147,7 @@ def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, need: int, of:
     left = scratch.keep(some.where(reach(most, F.col("x_n"), F.col("y_n"))).select("a", "b").distinct())
     full = meet(sets.select("doc_id", "n", F.col("shingles").alias("s")), left)
     out = scratch.keep(full.where(reach(F.col("both"), F.col("x_n"), F.col("y_n"))).select("a", "b").distinct())
-    scratch.drop(left)
-    scratch.drop(pairs, may)
+    scratch.drop(pairs, may, held, sets, left)
     return out
 
 
@@ -159,18 +162,18 @@ def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -
     # one node for each distinct set, named by its least doc_id
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     nodes = scratch.keep(nodes)
-    hung = sets.where("n > 0 and doc_id is not null").select("doc_id", "f1", "n", F.explode(F.slice("shingles", F.lit(1), F.col("hung"))).alias("root"))
+    hung = sets.where("n > 0 and doc_id is not null").select("doc_id", "f1", "n", F.explode("shingles").alias("root"))
     # roots of one set alone lead nowhere
     shared = hung.groupBy("root").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("root")
     shared = scratch.keep(shared)
-    # written before the next join, which must not move below explode(): sets are long, rows of the tree are not
+    # written before the next join, which must not move below explode(): lists of roots are long, rows of the tree are not
     met = scratch.keep(hung.select("doc_id", "n", "root").join(shared, "root"))
     tree = scratch.keep(met.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct())
     scratch.drop(shared, met)
     # first traversal: each root's least document against the root's others
     lead = tree.groupBy("root").agg(F.min(F.struct("doc_id", "n")).alias("l")).select("root", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"))
     met = tree.join(lead, "root").where((F.col("doc_id") != F.col("a")) & (F.col("n") * of >= F.col("an") * need) & (F.col("an") * of >= F.col("n") * need))
-    links = _verify(scratch, met.select("a", F.col("doc_id").alias("b")).distinct(), sets, need, of)
+    links = _verify(scratch, met.select("a", F.col("doc_id").alias("b")).distinct(), sets, docs, words, need, of)
     first = scratch.keep(components(scratch, links))
     # second traversal: nodes of one class each, pairs of nodes of different classes
     classed = tree.join(first, F.col("doc_id") == F.col("node"), "left").withColumn("cls", F.coalesce("component", "doc_id")).drop("node", "component")
@@ -194,7 +197,7 @@ def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -
     down = pairs.join(_as(classed, "x_"), [f"x_{c}" for c in at]).join(_as(classed, "y_"), [f"y_{c}" for c in at]).where((F.col("x_n") * of >= F.col("y_n") * need) & (F.col("y_n") * of >= F.col("x_n") * need))
     down = scratch.keep(down.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct())
     scratch.drop(classed, pairs)
-    more = _verify(scratch, down, sets, need, of)
+    more = _verify(scratch, down, sets, docs, words, need, of)
     # classes of the first traversal are joined by the second's links
     name = first.select("node", "component")
     over = more.join(name.withColumnRenamed("component", "ca"), F.col("a") == F.col("node"), "left").drop("node").join(name.withColumnRenamed("component", "cb"), F.col("b") == F.col("node"), "left").drop("node")
