@@ -6,10 +6,11 @@ document is hung under the roots of those shingles only; shingles that a sample
 last in the order, which keeps roots small but decides nothing about results.
 
 Under each root stands a tree: bands of set size, nodes of documents of one class, documents. A node has the
-OR of its documents' token bitmaps, the range of their sizes, and their class. Pairs of nodes are traversed
-together from the top and left where no pair below can reach the threshold: where the size ranges are too far
-apart, where the bitmaps' common bits (plus what shingles share a bit) are too few, or where both are of one
-class already. The pairs of documents that remain are verified on their whole sets.
+OR of its documents' token bitmaps, the range of their sizes, and their class, and is the same under every root.
+Pairs of nodes are traversed together from the top and left where no pair below can reach the threshold: where
+the size ranges are too far apart, where too few shingles follow the root in the common order, where the
+bitmaps' common bits (plus what shingles share a bit) are too few, or where both are of one class already. A pair
+of nodes goes down once, however many roots it shares. The pairs of documents that remain are verified on their whole sets.
 
 The traversal is done twice. First each root's least document is paired with the root's others; the links
 found join most of a large group of copies into one class. Then all trees are traversed with these classes, so
@@ -33,13 +34,14 @@ from .words import blocks, shingle_sets
 
 BITS = 512
 _LONGS = BITS // 64
-#: Frequent shingles are looked for in about so many documents (or 16 times the root of all), and at most so many are kept.
+#: Frequent shingles are looked for in one of so many documents (in more where that is under SAMPLE_ROWS), and at most so many are kept.
+SAMPLE = 8
 SAMPLE_ROWS = 8_000
-FREQUENT = 200_000
+FREQUENT = 500_000
 #: One in so many shingles is compared before whole sets are.
 PART = 4
-#: Documents of one class under one root make nodes of about this many.
-NODE = 64
+#: Documents of one class and band make nodes of about this many.
+NODE = 16
 
 
 def _sets_job(words: int, frequent: np.ndarray, need: int, of: int, whole: bool):
@@ -91,13 +93,12 @@ def frequent_shingles(docs: DataFrame, words: int = 5, rows: int = SAMPLE_ROWS,
     n = docs.count()
     if not n:
         return np.empty(0, np.uint64)
-    rows = max(rows, int(16 * n**0.5))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30)))
-    seen = shingle_table(some, words, whole=True).where("n > 0").select("f1", F.explode("shingles").alias("s"))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, max(rows / n, 1 / SAMPLE)) * (1 << 30)))
+    seen = shingle_table(some, words, whole=True).where("n > 0").select(F.hash("f1").alias("f1"), F.explode("shingles").alias("s"))
     top = seen.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("k >= 3 and lo <> hi").orderBy(F.col("k").desc(), "s").select("s").limit(most)
     with shuffle_files_end_with_query(docs.sparkSession):
-        got = np.array([r["s"] for r in top.collect()], np.int64)  # at most ``most`` hashes
-    return got.view(np.uint64)
+        got = top.toArrow().column("s").to_numpy()  # at most ``most`` hashes
+    return got.astype(np.int64).view(np.uint64)
 
 
 def _common(a: str, b: str) -> Column:
@@ -162,41 +163,45 @@ def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -
     # one node for each distinct set, named by its least doc_id
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
     nodes = scratch.keep(nodes)
-    hung = sets.where("n > 0 and doc_id is not null").select("doc_id", "f1", "n", F.explode("shingles").alias("root"))
+    # at a pair's first common root neither set can share more than what follows from there: ``rest``
+    hung = sets.where("n > 0 and doc_id is not null").select("doc_id", "f1", "n", F.posexplode("shingles").alias("at", "root")).withColumn("rest", F.col("n") - F.col("at"))
     # roots of one set alone lead nowhere
     shared = hung.groupBy("root").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("root")
     shared = scratch.keep(shared)
     # written before the next join, which must not move below explode(): lists of roots are long, rows of the tree are not
-    met = scratch.keep(hung.select("doc_id", "n", "root").join(shared, "root"))
+    met = scratch.keep(hung.select("doc_id", "n", "rest", "root").join(shared, "root"))
     tree = scratch.keep(met.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct())
     scratch.drop(shared, met)
     # first traversal: each root's least document against the root's others
-    lead = tree.groupBy("root").agg(F.min(F.struct("doc_id", "n")).alias("l")).select("root", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"))
-    met = tree.join(lead, "root").where((F.col("doc_id") != F.col("a")) & (F.col("n") * of >= F.col("an") * need) & (F.col("an") * of >= F.col("n") * need))
+    lead = tree.groupBy("root").agg(F.min(F.struct("doc_id", "n", "rest")).alias("l")).select("root", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.rest").alias("arest"))
+    met = tree.join(lead, "root").where((F.col("doc_id") != F.col("a")) & (F.col("n") * of >= F.col("an") * need) & (F.col("an") * of >= F.col("n") * need) & (F.least("rest", "arest") * (need + of) >= (F.col("n") + F.col("an")) * need))
     links = _verify(scratch, met.select("a", F.col("doc_id").alias("b")).distinct(), sets, docs, words, need, of)
     first = scratch.keep(components(scratch, links))
-    # second traversal: nodes of one class each, pairs of nodes of different classes
-    classed = tree.join(first, F.col("doc_id") == F.col("node"), "left").withColumn("cls", F.coalesce("component", "doc_id")).drop("node", "component")
-    mixed = classed.groupBy("root").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("root")
-    classed = classed.join(mixed, "root")
-    held = classed.groupBy("root", "cls").agg(F.count(F.lit(1)).alias("k"))
-    classed = classed.join(held, ["root", "cls"])
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(of / need)) + 1e-9).cast("int")
-    classed = classed.withColumn("band", band).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / NODE)))
-    classed = scratch.keep(classed.drop("k"))
-    scratch.drop(tree)
-    at = ["root", "band", "cls", "part"]
-    bits = sets.select("doc_id", "excess", *[f"b{i}" for i in range(_LONGS)]).dropDuplicates(["doc_id"])
-    inner = classed.join(bits, "doc_id").groupBy(*at).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("excess").alias("excess"), *[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LONGS)])
-    inner = scratch.keep(inner)
-    x, y = _as(inner, "x_"), _as(inner, "y_").withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.col("y_band") - F.col("step"))
-    pairs = x.join(y, (F.col("x_root") == F.col("y_root")) & (F.col("x_band") == F.col("at")) & (F.col("x_cls") != F.col("y_cls")) & ((F.col("step") == 1) | (F.col("x_cls") < F.col("y_cls"))) & _may("x_", "y_", "lo", "hi", need, of))
-    pairs = scratch.keep(pairs.select(*[f"x_{c}" for c in at], *[f"y_{c}" for c in at]))
-    scratch.drop(inner)
+    # second traversal: nodes of one class and one band of sizes each, the same nodes under every root
+    own = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "excess", *[f"b{i}" for i in range(_LONGS)])
+    own = own.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    own = own.join(first, F.col("doc_id") == F.col("node"), "left").withColumn("cls", F.coalesce("component", "doc_id")).drop("node", "component")
+    own = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(of / need)) + 1e-9).cast("int"))
+    held = own.groupBy("cls", "band").agg(F.count(F.lit(1)).alias("k"))
+    own = own.join(held, ["cls", "band"]).withColumn("node", F.xxhash64("cls", "band", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / NODE))))
+    own = scratch.keep(own.drop("k"))
+    place = own.select("doc_id", "n", "cls", "band", "node")
+    top = scratch.keep(own.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("excess").alias("excess"), *[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(_LONGS)]))
+    under = tree.join(place, ["doc_id", "n"]).groupBy("root", "node", "cls", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
+    under = scratch.keep(under)
+    mixed = under.groupBy("root").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("root")
+    met = under.join(mixed, "root")
+    x, y = _as(met, "x_"), _as(met, "y_").withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.col("y_band") - F.col("step"))
+    sizes = (F.col("x_hi") * of >= F.col("y_lo") * need) & (F.col("y_hi") * of >= F.col("x_lo") * need) & (F.least("x_rest", "y_rest") * (need + of) >= (F.col("x_lo") + F.col("y_lo")) * need)
+    pairs = x.join(y, (F.col("x_root") == F.col("y_root")) & (F.col("x_band") == F.col("at")) & (F.col("x_cls") != F.col("y_cls")) & ((F.col("step") == 1) | (F.col("x_cls") < F.col("y_cls"))) & sizes)
+    pairs = scratch.keep(pairs.select("x_node", "y_node").distinct())  # once, however many roots they share
+    scratch.drop(tree, under)
+    pairs = pairs.join(_as(top, "x_"), "x_node").join(_as(top, "y_"), "y_node").where(_may("x_", "y_", "lo", "hi", need, of)).select("x_node", "y_node")
     # leaves: documents below the node pairs that are left; their own bitmaps are compared before their sets are
-    down = pairs.join(_as(classed, "x_"), [f"x_{c}" for c in at]).join(_as(classed, "y_"), [f"y_{c}" for c in at]).where((F.col("x_n") * of >= F.col("y_n") * need) & (F.col("y_n") * of >= F.col("x_n") * need))
+    leaf = place.select("doc_id", "n", "node")
+    down = pairs.join(_as(leaf, "x_"), "x_node").join(_as(leaf, "y_"), "y_node").where((F.col("x_n") * of >= F.col("y_n") * need) & (F.col("y_n") * of >= F.col("x_n") * need))
     down = scratch.keep(down.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct())
-    scratch.drop(classed, pairs)
+    scratch.drop(own, top)
     more = _verify(scratch, down, sets, docs, words, need, of)
     # classes of the first traversal are joined by the second's links
     name = first.select("node", "component")
