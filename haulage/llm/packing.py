@@ -20,11 +20,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, running, ship
@@ -42,8 +43,10 @@ _RNG = np.random.default_rng(6)
 _CHAR = _RNG.integers(1, 2**63, _PLAIN, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: Characters split at once, and pieces remembered at most.
-_CHUNK = 4_000_000
+#: Texts handed to a Python worker at once.
+SLICE = 500
+#: Characters split at once (about 50 bytes of memory each), and pieces remembered at most.
+_CHUNK = 500_000
 _REMEMBER = 1_200_000
 _TABLES: dict = {}
 _ENCODERS: dict = {}
@@ -199,6 +202,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of fewer rows, so that neither side of the Python worker holds many texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (little-endian 32-bit, with the end token), doc_tokens."""
     ship(docs.sparkSession)
@@ -206,11 +221,10 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 2000):
-                ids = [np.append(x, np.uint32(END)) for x in enc.encode(texts[lo : lo + 2000])]
+            for lo in range(0, batch.num_rows, SLICE):
+                ids = [np.append(x, np.uint32(END)) for x in enc.encode(batch.column("text").slice(lo, SLICE).to_pylist())]
                 narrow = [x.astype(np.uint16).tobytes() if x.max() < 65536 else x.astype(np.uint32).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 2000), pa.array(narrow, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "ids", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, SLICE), pa.array(narrow, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "ids", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, doc_tokens long")
 
@@ -292,7 +306,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, grid: int = GRID) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     made = tokenize(docs, path).withColumn("_row", F.monotonically_increasing_id())
-    tokens = scratch.keep(made)  # written once, so that _row and the ids are the same in every later read
+    with small_batches(spark, SLICE):
+        tokens = scratch.keep(made)  # written once, so that _row and the ids are the same in every later read
     lens = tokens.select("_row", "doc_tokens", F.pmod("doc_tokens", F.lit(window)).alias("rest"), F.floor(F.col("doc_tokens") / window).cast("long").alias("whole"))
     lens = lens.withColumn("g", F.ceil(F.col("rest") * grid / F.lit(window)).cast("int"))
     hist = np.zeros(grid + 1, np.int64)
