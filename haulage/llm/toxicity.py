@@ -43,7 +43,7 @@ class Model:
 
     weight: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOT_BITS, np.float32))
     check: np.ndarray = field(default_factory=lambda: np.zeros(1 << SLOT_BITS, np.uint32))
-    bias: float = -40.0
+    bias: float = -np.inf  # without labels every score is 0
 
 
 def _sentences(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +79,7 @@ def score_texts(texts: list[str | None], m: Model) -> np.ndarray:
     for at, b in blocks(texts, lower=True, sep=NO_LETTER):
         z, _, doc = _logits(b, m)
         out[at : at + b.n] = -np.expm1(-np.bincount(doc, _softplus(z), b.n))
-    return np.clip(out, 0.0, 1.0)
+    return np.clip(out, 0.0, 1.0) + 0.0  # no negative zeros
 
 
 def fit(words: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), n_features: int = FEATURES, steps: int = 300, rate: float = 0.15, decay: float = 1e-4) -> Model:
