@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text hashed at once; a longer text makes a block of its own.
-BLOCK = 2_000_000
+BLOCK = 500_000
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
