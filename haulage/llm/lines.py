@@ -1,11 +1,10 @@
 """Operator 4, line dedup: content-defined chunks of lines.
 
-Each line is hashed. A rolling hash over the hashes of a line and the one before it chooses where a chunk of
-short lines ends (one place in four), and a long line is always a chunk of its own, so that borders depend on
-the neighbourhood alone and move with the text. Chunks, and pairs of neighbouring chunks, whose hashes occur
-more than once in the whole table are looked up; a run of chunks that are repeated one by one and pair by
-pair is one repeated passage. Of a passage of at least ``min_words`` words the first occurrence (lowest
-doc_id, then place) stays; the others are removed once their bytes are compared with the first one's.
+Each line is hashed. At each line one chunk begins, the fewest lines that hold ``min_words`` words, and one ends, the
+fewest lines back that do; where both are the same it counts once. Chunks depend on their lines alone, and those that
+lie in a passage of at least ``min_words`` words cover it to its edges. So a line goes exactly if it lies in a run of
+whole lines of so many words that an earlier place (lowest doc_id, then place) has as well, once its bytes are
+compared with the line there; the first occurrence stays. A chunk that overlaps its own first occurrence stays too.
 
 Nulls: a null text stays null, a null doc_id sorts before others (its occurrence is the first). Rows equal in
 doc_id and text are one document: they are treated alike. Empty texts stay. A document of whose lines nothing
@@ -20,53 +19,45 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: A line of so many characters is a chunk of its own.
-LONG_LINE = 40
-#: One in so many places between short lines is a border.
-SPACING = 4
-#: Shorter runs of repeated chunks stay.
+#: Shorter passages stay.
 MIN_WORDS = 25
 
 
-def chunks(docs: DataFrame, long_line: int = LONG_LINE, spacing: int = SPACING) -> DataFrame:
-    """doc_id, th (hash of the text), lo, hi (first and last line), h (hash of the lines), words, after (hash with the next chunk)."""
-    one = lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(x).alias("n"), (F.char_length(x) - F.char_length(F.translate(x, " \t", "")) + 1).alias("words"))
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th (hash of the text), lo, hi (first and last line), h (hash of the lines)."""
+    one = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.char_length(x) - F.char_length(F.translate(x, " \t", "")) + 1).alias("words"))
     lines = docs.where("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(F.split("text", "\n"), one)).alias("at", "l")).select("doc_id", "th", "at", "l.*")
     # rows equal in doc_id and text give each line once; dealt out by document, the windows below need no other exchange
-    lines = lines.repartition("doc_id", "th").groupBy("doc_id", "th", "at").agg(*[F.first(c).alias(c) for c in ("h", "n", "words")])
-    doc = Window.partitionBy("doc_id", "th").orderBy("at")
-    before = F.lag("h").over(doc)
-    ends = (F.col("n") >= long_line) | (F.coalesce(F.lag("n").over(doc), F.lit(0)) >= long_line) | (F.pmod(F.xxhash64(F.coalesce(before, F.lit(0)), F.col("h")), F.lit(spacing)) == 0)
-    lines = lines.withColumn("starts", ends.cast("int")).withColumn("no", F.sum("starts").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = lines.groupBy("doc_id", "th", "no").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("words").alias("words"), F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])).alias("h"))
-    order = Window.partitionBy("doc_id", "th").orderBy("lo")
-    return out.withColumn("after", F.xxhash64("h", F.lead("h").over(order))).withColumn("last", F.lead("h").over(order).isNull()).drop("no")
+    lines = lines.repartition("doc_id", "th").groupBy("doc_id", "th", "at").agg(*[F.first(c).alias(c) for c in ("h", "words")])
+    doc = Window.partitionBy("doc_id", "th")
+    lines = lines.withColumn("upto", F.sum("words").over(doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("words"))
+    # a line has one word at least, so that both sums grow from line to line and a frame has min_words lines at most
+    ahead, back = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("upto").rangeBetween(1 - min_words, 0)
+    begins = F.struct(F.col("at").alias("lo"), F.max("at").over(ahead).alias("hi"), F.xxhash64(F.collect_list("h").over(ahead)).alias("h"), (F.max("upto").over(ahead) - F.col("before") >= min_words).alias("whole"))
+    ends = F.struct(F.min("at").over(back).alias("lo"), F.col("at").alias("hi"), F.xxhash64(F.collect_list("h").over(back)).alias("h"), (F.col("before") - F.min("before").over(back) >= min_words).alias("whole"))
+    lines = lines.select("doc_id", "th", begins.alias("begins"), ends.alias("ends"))
+    return lines.select("doc_id", "th", F.explode(F.array("begins", "ends")).alias("c")).where("c.whole").select("doc_id", "th", "c.lo", "c.hi", "c.h")
 
 
-def repeated(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS, **how) -> DataFrame:
-    """doc_id, th, lo, hi of each chunk to remove, before bytes are compared, with h and its first place."""
-    all_ = scratch.keep(chunks(docs, **how))
-    place = F.struct(F.col("doc_id"), F.col("th"), F.col("lo"))
-    keys = all_.select("h", place.alias("p"), F.lit(False).alias("pair")).unionByName(all_.where("not last").select(F.col("after").alias("h"), place.alias("p"), F.lit(True).alias("pair")))
-    again = keys.groupBy("pair", "h").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first")).where("n > 1")
-    again = scratch.keep(again)
-    own = again.where("not pair").select("h", "first").hint("merge")  # the same plan at every size; Spark splits hot hashes
-    pair = again.where("pair").select(F.col("h").alias("after"), F.lit(True).alias("linked")).hint("merge")
-    # only documents with a repeated chunk go on
-    hit = all_.join(own, "h").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.lo") == F.col("lo"))))
-    hit = hit.join(pair, "after", "left")
-    doc = Window.partitionBy("doc_id", "th").orderBy("lo")
-    joined = (F.lag("hi").over(doc) + 1 == F.col("lo")) & F.coalesce(F.lag("linked").over(doc), F.lit(False))
-    hit = hit.withColumn("run", F.sum(F.when(joined, 0).otherwise(1)).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("doc_id", "th", "run")
-    out = hit.withColumn("run_words", F.sum("words").over(run)).where(F.col("run_words") >= min_words)
-    return scratch.keep(out.select("doc_id", "th", "lo", "hi", "h", "first"))
+def repeated(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, th, lo = hi of each line to remove, before bytes are compared, with h and the place (first) that it repeats."""
+    all_ = scratch.keep(chunks(docs, max(min_words, 1)))
+    again = all_.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("first")).where("n > 1")
+    again = scratch.keep(again.select("h", "first"))
+    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th"))
+    # the same plan at every size; Spark splits hot hashes
+    hit = all_.join(again.hint("merge"), "h").where(~(own & (F.col("lo") <= F.col("first.lo") + F.col("hi") - F.col("lo"))))
+    hit = hit.select("doc_id", "th", "lo", "hi", "first").repartition("doc_id", "th")
+    line = hit.select("doc_id", "th", (F.col("first.lo") - F.col("lo")).alias("by"), "first", F.explode(F.sequence("lo", "hi")).alias("lo"))
+    first = F.min(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), (F.col("lo") + F.col("by")).alias("lo")))
+    out = line.groupBy("doc_id", "th", "lo").agg(first.alias("first"))
+    return scratch.keep(out.select("doc_id", "th", "lo", F.col("lo").alias("hi"), F.xxhash64("first").alias("h"), "first"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = False, **how) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = False) -> DataFrame:
     """docs with repeated passages taken out of ``text``."""
     scratch = Scratch(docs.sparkSession, "lines")
-    mark = repeated(scratch, docs, min_words, **how)
+    mark = repeated(scratch, docs, min_words)
     at = lambda: F.struct("lo", "hi", "h")
     here = mark.select("doc_id", "th", at().alias("c"), F.lit(False).alias("is_first"))
     there = mark.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct(F.col("first.lo").alias("lo"), (F.col("first.lo") + F.col("hi") - F.col("lo")).alias("hi"), "h").alias("c"), F.lit(True).alias("is_first")).distinct()

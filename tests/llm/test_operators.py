@@ -267,6 +267,66 @@ def test_line_dedup_keeps_every_first_line(docs, rows):
             assert len(words(out[r.doc_id])) < 25
 
 
+def brute_lines(texts, min_words):
+    """Lines left of each text, by comparing every line with every line of the texts before."""
+    n = lambda x: len(re.findall("[ \t]", x)) + 1
+    split, out = [t.split("\n") for t in texts], []
+    for j, b in enumerate(split):
+        gone = set()
+        for a in split[:j]:
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if a[x] == b[y] and not (x and y and a[x - 1] == b[y - 1]):
+                        k = 0
+                        while x + k < len(a) and y + k < len(b) and a[x + k] == b[y + k]:
+                            k += 1
+                        if sum(map(n, b[y : y + k])) >= min_words:
+                            gone |= set(range(y, y + k))
+        out.append("\n".join(x for i, x in enumerate(b) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("n_lines", [5, 9, 17, 25])
+def test_line_dedup_takes_passages_of_short_lines_to_their_edges(spark, n_lines):
+    rng = random.Random(n_lines)
+    line = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(1000)) for _ in range(6))
+    data, own, shared = [], [], []
+    for i in range(30):
+        ls = [line() for _ in range(20)]
+        at = rng.randrange(21)
+        if i % 2 == 0:
+            shared.append([line() for _ in range(n_lines)])
+        data.append((i, "\n".join(ls[:at] + shared[-1] + ls[at:])))
+        own.append("\n".join(ls))
+    assert max(len(x) for _, t in data for x in t.split("\n")) < 40
+    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(30)] == [own[i] if i % 2 else data[i][1] for i in range(30)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_is_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join("x" * rng.randint(1, 9) + str(k) for _ in range(rng.choice([1, 2, 3, 6, 12, 30]))) for k in range(120)]
+    texts = []
+    for _ in range(40):  # runs of the pool, so that passages of all lengths repeat, begin and end anywhere
+        ls = []
+        for _ in range(3):
+            at = rng.randrange(len(pool))
+            ls += [x for x in pool[at : at + rng.randint(1, 12)] if x not in ls]
+        texts.append("\n".join(ls))
+    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_empty=True).collect()}
+    want = brute_lines(texts, 25)
+    assert any(w and w != t for w, t in zip(want, texts))
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_line_dedup_keeps_one_turn_of_a_refrain(spark):
+    text = "\n".join(["la la la"] * 40)
+    out = lines.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), keep_empty=True)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert 25 <= len(words(got[1])) < 60 and got[2] == ""
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.text) for r in lines.line_dedup(odd).collect()), key=lambda x: (x[0] is None, x[0] or 0))
     assert [g[0] for g in got] == [1, 2, 3, 3, 5, 6, 7, 8, None]
