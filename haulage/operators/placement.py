@@ -8,6 +8,7 @@ rounded to six places before they are ranked, and ties end with the lower load,
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import pandas as pd
@@ -120,20 +121,47 @@ def with_retries(scored: DataFrame, down: Column, attempts: int = 3) -> DataFram
     return ranked.groupBy("task_id").agg(F.min_by(F.when(~down, F.col("node_id")), F.when(~down, F.col("rank"))).alias("node_id"), F.coalesce(F.min(F.when(~down, F.col("rank"))), F.max("rank")).cast("long").alias("attempts"))
 
 
-def spread(tasks: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
-    """(task_id, node_id, load): tasks of a group are placed one after the other, each raising its node's load.
+def spread(tasks: DataFrame, nodes: DataFrame, group: str | None = None, rule: Column | None = None) -> DataFrame:
+    """(task_id, node_id, load): tasks are placed one after the other by task_id, each on the least loaded node that meets
+    its constraint, and each raising its node's load; both NULL where no node does. Without a rule every node is eligible.
 
-    An ordered fold: groups run side by side, the nodes ride along as a small broadcast frame.
+    An ordered fold: each task depends on all before it. Groups, where they are given, do not see each other and run side
+    by side; without them one task streams the whole order in batches. The nodes ride along as a small frame.
     """
-    pool = sorted(((float(r["cpu_usage"]), float(r["memory_usage"]), r["node_id"], max(1, r["cpu_cores"])) for r in nodes.collect()), key=lambda x: x[2])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pending = {n: 0 for _, _, n, _ in pool}
-        rows = []
-        for t in pdf.sort_values("task_id")["task_id"]:
-            load, _, n = min((min(1.0, c + pending[n] / k), m, n) for c, m, n, k in pool)
-            pending[n] += 1
-            rows.append((t, n, load))
-        return pd.DataFrame(rows, columns=["task_id", "node_id", "load"])
-
-    return tasks.select("task_id", group).groupBy(group).applyInPandas(fold, "task_id long, node_id long, load double")
+    pool = {r["node_id"]: (float(r["cpu_usage"]), float(r["memory_usage"]), max(1, r["cpu_cores"])) for r in nodes.collect()}
+    if rule is None:
+        tasks, can = tasks.withColumn("constraint_text", F.lit(None).cast("string")), {None: list(pool)}
+    else:
+        can = {r[0]: r[1] for r in eligible(tasks, nodes, rule).groupBy("constraint_text").agg(F.collect_list("node_id")).collect()}
+
+    def placer():
+        pending = dict.fromkeys(pool, 0)
+        load = lambda n: min(1.0, pool[n][0] + pending[n] / pool[n][2])
+        heaps = {c: [(load(n), pool[n][1], n) for n in ns] for c, ns in can.items()}
+        for h in heaps.values():
+            heapq.heapify(h)
+
+        def place(pdf: pd.DataFrame) -> pd.DataFrame:
+            on, at = [], []
+            for c in pdf["constraint_text"]:
+                h = heaps.get(c if isinstance(c, str) else None)
+                # loads only rise: an entry that another constraint's tasks made stale goes back with its new load
+                while h and h[0][0] < load(h[0][2]):
+                    heapq.heapreplace(h, (load(h[0][2]), *h[0][1:]))
+                on.append(h[0][2] if h else None)
+                at.append(h[0][0] if h else None)
+                if h:
+                    pending[h[0][2]] += 1
+            return pd.DataFrame({"task_id": pdf["task_id"].to_numpy(), "node_id": pd.array(on, "Int64"), "load": pd.array(at, "Float64")})
+
+        return place
+
+    out = "task_id long, node_id long, load double"
+    if group is None:
+
+        def stream(batches):
+            place = placer()
+            yield from map(place, batches)
+
+        return tasks.select("task_id", "constraint_text").repartition(1).sortWithinPartitions("task_id").mapInPandas(stream, out)
+    return tasks.select("task_id", "constraint_text", group).groupBy(group).applyInPandas(lambda pdf: placer()(pdf.sort_values("task_id")), out)

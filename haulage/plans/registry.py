@@ -484,7 +484,7 @@ def _(t):
 
 @_add("e7_spread")
 def _(t):
-    return placement.spread(t("m_tasks").withColumn("client_group", F.col("client") % 64), t("m_nodes").where("node_id <= 16"), "client_group")
+    return placement.spread(t("m_tasks"), t("m_nodes"), rule=_rule())
 
 
 # -- F: aggregates --------------------------------------------------------------------------------------------

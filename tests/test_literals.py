@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from haulage.functions import columns as C
 from haulage.functions import kinds
 from haulage.operators import catalog, content, control, graph, metrics, placement, queueing, state
-from haulage.plans import flow
+from haulage.plans import flow, registry
 from haulage.plans.api import Mesh
+from haulage.schemas import view
 from haulage.sources import journal
 from haulage.streaming import monitor
 
@@ -144,6 +145,39 @@ def test_spread_raises_load_as_it_goes(spark):
     assert got == [1, 2] * 4
 
 
+def greedy(tasks, pool):
+    """node_id and load of each task by looking at every node; pool: node_id, cores, cpu, memory, gpu."""
+    meets = {None: lambda g: True, "gpu": lambda g: g is not None, "gpu=true": lambda g: g == "true", "gpu!=true": lambda g: g != "true"}
+    pending, out = {p[0]: 0 for p in pool}, {}
+    for task, constraint in sorted(tasks, key=lambda x: x[0]):
+        can = [(min(1.0, cpu + pending[n] / max(1, cores)), memory, n) for n, cores, cpu, memory, gpu in pool if meets[constraint](gpu)]
+        load, _, n = min(can, default=(None, None, None))
+        out[task] = (n, load)
+        if n is not None:
+            pending[n] += 1
+    return out
+
+
+@pytest.mark.parametrize("gpus", [[None, "true", "false"], [None]])
+def test_spread_is_greedy_under_constraints(spark, gpus):
+    rng = random.Random(5)
+    pool = [(n, 4, rng.randrange(80) / 100, rng.randrange(3) / 10, rng.choice(gpus)) for n in range(30)]
+    tasks = [(k, rng.choice([None, "gpu", "gpu=true", "gpu!=true"])) for k in range(200)]
+    rng.shuffle(tasks)
+    n = nodes(spark, *[(i, cpu, memory, None, None, gpu) for i, _, cpu, memory, gpu in pool])
+    got = placement.spread(spark.createDataFrame(tasks, "task_id long, constraint_text string").repartition(3), n, rule=placement.label_rule()).collect()
+    assert len(got) == 200 and {r.task_id: (r.node_id, r.load) for r in got} == greedy(tasks, pool)
+
+
+def test_spread_query_sees_all_tasks_and_nodes(spark):
+    sf = "/root/testdata/sf0.01"
+    tasks = [tuple(r) for r in view(spark, sf, "m_tasks").select("task_id", "constraint_text").collect()]
+    pool = [tuple(r) for r in view(spark, sf, "m_nodes").select("node_id", "cpu_cores", "cpu_usage", "memory_usage", "gpu").collect()]
+    got = {r.task_id: (r.node_id, r.load) for r in registry.queries()["e7_spread"](spark, sf).collect()}
+    assert got == greedy(tasks, pool)
+    assert max(n for n, _ in got.values()) > 16
+
+
 def test_mesh_errors_in_order(spark):
     have = spark.createDataFrame([("a", "x"), ("b", None)], "hostname string, label string")
     want = lambda *r: spark.createDataFrame(list(r), "hostname string, label string")
