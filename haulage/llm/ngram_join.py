@@ -153,7 +153,9 @@ def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, docs: DataFrame
 
 
 def ngram_join(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, verified_links (verified links of the document's set) for every row of docs.
+    """doc_id, n_shingles, component_id, verified_links for every row of docs.
+
+    verified_links counts the links of the document's set that were verified: enough for classes, not all that there are.
 
     Documents link when their sets' Jaccard similarity is at least need / of.
     """
