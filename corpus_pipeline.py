@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.llm import lines, mixing, ngram_join, packing, queries, toxicity
-from haulage.llm.common import Scratch
+from haulage.llm.common import Scratch, partitions
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,8 +28,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return ngram_join.one_of_each(docs).select(*COLUMNS)
+    """One document of each group of near duplicates stays, that with the least doc_id; every row is a document, repeated ids and null ones too."""
+    scratch = Scratch(spark, "near")
+    # numbered once, in the order of doc_id; the text's hash deals out rows of one id or none
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = docs.select(*COLUMNS).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    rows = scratch.keep(rows.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*[c for c in COLUMNS if c != "text"]).alias("_doc"), "text"))
+    return ngram_join.one_of_each(rows).select("_doc.*", "text").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Training and tokenizing are beyond SQL: tests hold each stage against a brute-force version.
+#: Training and tokenizing are beyond SQL: tests hold the operators, and the n-gram stage itself, against brute-force versions.
 ORACLE_SQL = None
 
 

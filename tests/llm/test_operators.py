@@ -193,6 +193,23 @@ def test_ngram_join_of_odd_rows(odd, none):
     assert sorted((r.doc_id for r in ngram_join.one_of_each(odd).collect()), key=lambda v: (v is None, v)) == [1, 2, 3, 3, 5, 6, 7, 8, None]
 
 
+def test_near_stage_keeps_one_row_of_each_class(spark):
+    from corpus_pipeline import dedup_near
+
+    rng = random.Random(4)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(5)]
+    edited = lambda b: " ".join(b[:40] + ["other"] + b[41:])
+    data = [(1, bases[0]), (1, bases[0]), (2, bases[1]), (None, bases[1]), (None, bases[2]), (None, bases[2]), (7, bases[3]), (5, bases[4]), (9, None)]
+    data = [(d, b and " ".join(b)) for d, b in data] + [(None, edited(bases[3])), (4, edited(bases[4])), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in data], SCHEMA)
+    order = sorted(range(len(data)), key=lambda i: (data[i][0] is None, data[i][0] or 0))
+    named = classes([(k, data[i][1]) for k, i in enumerate(order)])
+    want = [data[i] for (k, _, c), i in zip(named, order, strict=True) if k == c]
+    got = [(r.doc_id, r.text) for r in dedup_near(spark, df, SF).collect()]
+    odd_first = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(got, key=odd_first) == sorted(want, key=odd_first) and len(got) == 7
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------
 
 
