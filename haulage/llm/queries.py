@@ -76,8 +76,8 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxic_model(docs, table(spark, sf_dir, "labels"))
-    out = docs.withColumn("score", toxicity.toxicity(docs, model))
-    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    out = docs.select("doc_id", toxicity.judged(docs, model, TOXIC).alias("_j"))
+    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "_j.score", (F.col("_j.score") >= TOXIC).cast("int").alias("predicted"), "_j.offending")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

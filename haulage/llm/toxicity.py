@@ -8,12 +8,16 @@ are then found with the same weights.
 Words are runs of letters and digits, ASCII lower-cased; sentences end at ``.``, ``!``, ``?`` or a line
 break. Nulls and texts without words score 0. A null doc_id is scored like any other row and never trained
 on. Labels that are null are left out; of several labels of one doc_id the highest holds. With no label to
-learn from every score is 0. Repeated rows get equal scores. Other columns are carried unchanged.
+learn from every score is 0. Repeated rows get equal scores; of rows that share a labelled doc_id the one with
+the least text is learned from. Texts of any length are learned from and scored whole. Features of equal gain
+are taken by their hash. An empty table gives an empty result. Only doc_id and text are read, whatever other
+columns are named; ``toxicity`` and ``judged`` are columns that the caller names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Scratch, ship
 from .words import NO_LETTER, Block, blocks
 
 #: The classifier is fitted on at most so many labelled rows of label 1 and of label 0, the first by hash of doc_id, ...
 SAMPLE_ROWS = (1_500, 3_000)
-#: ... of texts of at most so many bytes, and on so many features, the most telling ones. Scoring has no bounds.
-SAMPLE_BYTES = 65_536
+#: ... and on so many features, the most telling ones that so many of its documents of label 1 have. Scoring has no bounds.
 FEATURES = 4_096
+LEAST_DOCS = 3
+#: Sentences of less than this probability count in a score as one sentence, their mean: what the model grants to any sentence does not add up with a text's length.
+WEAK = 0.01
 #: Besides the whole word, its first k bytes count where it has more: inflected and lengthened forms.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 SLOT_BITS = 20
@@ -74,55 +80,65 @@ def _logits(b: Block, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z, first, doc
 
 
-def score_texts(texts: list[str | None], m: Model) -> np.ndarray:
-    out = np.zeros(len(texts))
-    for at, b in blocks(texts, lower=True, sep=NO_LETTER):
-        z, _, doc = _logits(b, m)
-        out[at : at + b.n] = -np.expm1(-np.bincount(doc, _softplus(z), b.n))
-    return np.clip(out, 0.0, 1.0) + 0.0  # no negative zeros
-
+def gains(with1: np.ndarray, with0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How much more often documents of label 1 have a feature."""
+    return with1 * np.log((with1 + 0.5) / n1 / ((with0 + 0.5) / n0))
 
-def fit(words: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), n_features: int = FEATURES, steps: int = 300, rate: float = 0.15, decay: float = 1e-4) -> Model:
-    """words: features of each document, a row for each word; sentences: its sentences' first words.
 
-    weight: how many labelled rows a row of label 0 and of label 1 stands for. Features are ranked by how
-    much more often documents of label 1 have them; their weights are then fitted together, by full-batch
-    Adam on the likelihood of the noisy-or.
+@dataclass
+class Bags:
+    """A document's sentences by the chosen features they have: alike ones once, with how often they occur."""
+
+    plain: int  # sentences without any chosen feature
+    times: np.ndarray  # by distinct bag
+    size: np.ndarray  # features of each bag
+    feature: np.ndarray  # one bag after the other, as places in the chosen features
+
+
+def bags(words: np.ndarray, firsts: np.ndarray, chosen: np.ndarray) -> Bags:
+    """words: features, a row for each word; firsts: the sentences' first words; chosen: sorted features."""
+    if not len(chosen) or not len(words):
+        return Bags(len(firsts), *(np.empty(0, np.int32) for _ in range(3)))
+    at = np.minimum(np.searchsorted(chosen, words), len(chosen) - 1)
+    r, c = np.nonzero(chosen[at] == words)
+    if not len(r):
+        return bags(words[:0], firsts, chosen)
+    sentence, f = np.searchsorted(firsts, r, "right") - 1, at[r, c]
+    order = np.lexsort((f, sentence))
+    sentence, f = sentence[order], f[order].astype(np.int32)
+    cut = np.flatnonzero(np.diff(sentence, prepend=-1))
+    known: Counter[bytes] = Counter(f[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(f)), strict=True))
+    kept = sorted(known)
+    return Bags(len(firsts) - len(cut), np.array([known[k] for k in kept], np.int32), np.array([len(k) // 4 for k in kept], np.int32), np.frombuffer(b"".join(kept), np.int32))
+
+
+def descend(docs: list[Bags], labels: np.ndarray, chosen: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), steps: int = 300, rate: float = 0.15, decay: float = 1e-4) -> Model:
+    """Weights of the chosen features, fitted together by full-batch Adam on the likelihood of the noisy-or.
+
+    weight: how many labelled rows a row of label 0 and of label 1 stands for.
     """
     m = Model()
     if not len(labels) or labels.min() == labels.max():
         return m
-    n, rows = len(labels), np.where(labels == 1, weight[1], weight[0])
+    n, k = len(labels), len(chosen)
+    rows = np.where(labels == 1, weight[1], weight[0])
     rows = rows / rows.sum()
-    own = [np.unique(w[w > 0]) for w in words]
-    known, code = np.unique(np.concatenate(own), return_inverse=True)
-    label = np.repeat(labels, [len(x) for x in own])
-    with1, with0 = np.bincount(code, label == 1, len(known)), np.bincount(code, label == 0, len(known))
-    gain = with1 * np.log((with1 + 0.5) / (labels == 1).sum() / ((with0 + 0.5) / (labels == 0).sum()))
-    use = np.sort(np.argsort(-gain, kind="stable")[:n_features])
-    use = use[(gain[use] > 0) & (with1[use] >= 3)]
-    chosen = known[use]
-    doc_n = np.array([len(s) for s in sentences])
-    base = np.concatenate(([0], np.cumsum(doc_n)))
-    at_sentence, f = [], []
-    for i, w in enumerate(words):
-        if not len(chosen):
-            break
-        at = np.minimum(np.searchsorted(chosen, w), len(chosen) - 1)
-        r, c = np.nonzero(chosen[at] == w)
-        at_sentence.append(np.searchsorted(sentences[i], r, "right") - 1 + base[i])
-        f.append(at[r, c])
-    at_sentence, f = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (at_sentence, f))
-    doc = np.repeat(np.arange(n), doc_n)
-    w = np.zeros(len(use))
-    b = np.log((rows @ labels) / max(1.0, doc_n.mean()))
-    moment, power = np.zeros(len(use) + 1), np.zeros(len(use) + 1)
+    plain = np.array([d.plain for d in docs], float)
+    held = np.array([len(d.times) for d in docs])
+    times = np.concatenate([d.times for d in docs]).astype(float)
+    f = np.concatenate([d.feature for d in docs]).astype(np.int64)
+    bag = np.repeat(np.arange(len(times)), np.concatenate([d.size for d in docs]))
+    doc = np.repeat(np.arange(n), held)
+    sentences = plain + np.bincount(doc, times, n)
+    w, b = np.zeros(k), np.log((rows @ labels) / max(1.0, sentences.mean()))
+    moment, power = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(at_sentence, w[f], base[-1]) + b
-        total = np.maximum(np.bincount(doc, _softplus(z), n), 1e-9)
-        slope = np.where(labels == 1, -1.0 / np.expm1(np.minimum(total, 700.0)), 1.0) * rows
-        gz = np.maximum(slope, -1.0)[doc] / (1.0 + np.exp(-np.clip(z, -500, 500)))
-        g = np.append(np.bincount(f, gz[at_sentence], len(use)) + decay * w, gz.sum())
+        z = np.bincount(bag, w[f], len(times)) + b
+        total = np.maximum(np.bincount(doc, times * _softplus(z), n) + plain * _softplus(b), 1e-9)
+        slope = np.maximum(np.where(labels == 1, -1.0 / np.expm1(np.minimum(total, 700.0)), 1.0) * rows, -1.0)
+        gz = slope[doc] * times / (1.0 + np.exp(-np.clip(z, -500, 500)))
+        gb = gz.sum() + (slope * plain).sum() / (1.0 + np.exp(-np.clip(b, -500, 500)))
+        g = np.append(np.bincount(f, gz[bag], k) + decay * w, gb)
         moment = 0.9 * moment + 0.1 * g
         power = 0.99 * power + 0.01 * g * g
         d = rate * (moment / (1 - 0.9**t)) / (np.sqrt(power / (1 - 0.99**t)) + 1e-8)
@@ -136,6 +152,20 @@ def fit(words: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray
     return m
 
 
+def fit(words: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), n_features: int = FEATURES) -> Model:
+    """The same on rows that are at hand: what ``train`` does, in one place."""
+    if not len(labels) or labels.min() == labels.max():
+        return Model()
+    own = [np.unique(w[w > 0]) for w in words]
+    known, code = np.unique(np.concatenate(own), return_inverse=True)
+    label = np.repeat(labels, [len(x) for x in own])
+    with1, with0 = np.bincount(code, label == 1, len(known)), np.bincount(code, label == 0, len(known))
+    gain = gains(with1, with0, (labels == 1).sum(), (labels == 0).sum())
+    use = np.argsort(-gain, kind="stable")[:n_features]
+    chosen = np.sort(known[use[(gain[use] > 0) & (with1[use] >= LEAST_DOCS)]])
+    return descend([bags(w, s, chosen) for w, s in zip(words, sentences, strict=True)], labels, chosen, weight)
+
+
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text the features of its words and the first words of its sentences."""
     for _, b in blocks(texts, lower=True, sep=NO_LETTER):
@@ -147,27 +177,83 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
             yield all_[lo:hi], first[cut[i] : cut[i + 1]] - lo
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. The sample is bounded, so its ids may be broadcast and its words collected."""
-    ship(docs.sparkSession)
+def _labelled_texts(batches: Iterable[pa.RecordBatch], rows: int = 100) -> Iterator[tuple[list[int], list[str | None]]]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            yield part.column("toxic").to_pylist(), part.column("text").to_pylist()
+
+
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, with1, with0): documents of either label that have a feature; feature 0 counts them all."""
+    for labels, texts in _labelled_texts(batches):
+        own = [np.append(np.unique(w[w > 0]), np.uint32(0)) for w, _ in features(texts)]
+        known, code = np.unique(np.concatenate(own), return_inverse=True)
+        label = np.repeat(labels, [len(x) for x in own])
+        with1, with0 = (np.bincount(code, label == x, len(known)).astype(np.int64) for x in (1, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(with1), pa.array(with0)], ["feature", "with1", "with0"])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPLE_ROWS, n_features: int = FEATURES) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic.
+
+    Features of the sample's whole texts are counted and ranked in Spark. Only the chosen ones reach the driver, and
+    of each sampled document its distinct bags of them, whose number does not grow with repeated sentences.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "toxicity")
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     there = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     first = lambda label, n: ids.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = first(1, sample_rows[0]).unionByName(first(0, sample_rows[1]))
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(some), "doc_id").select("toxic", "text")
-
-    def run(batches):
-        for batch in batches:
-            words, firsts = [], []
-            for w, s in features(batch.column("text").to_pylist()):
-                words.append(w.tobytes())
-                firsts.append(s.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(words, pa.binary()), pa.array(firsts, pa.binary())], ["toxic", "words", "firsts"])
-
-    got = sorted(rows.mapInArrow(run, "toxic int, words binary, firsts binary").collect(), key=lambda r: (bytes(r["words"]), r["toxic"]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most sample_rows ids
+    rows = scratch.keep(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
+    counts = scratch.keep(rows.mapInArrow(_count, "feature long, with1 long, with0 long").groupBy("feature").agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0")))
+    n = counts.where("feature = 0").first()
+    if n is None or not n["with1"] or not n["with0"]:
+        return Model()
+    gain = F.col("with1") * F.log((F.col("with1") + 0.5) / n["with1"] / ((F.col("with0") + 0.5) / n["with0"]))
+    top = counts.where(F.col("feature") > 0).where((gain > 0) & (F.col("with1") >= LEAST_DOCS)).orderBy(gain.desc(), "feature").limit(n_features)
+    chosen = np.sort(np.array([r["feature"] for r in top.select("feature").collect()], np.uint32))
+
+    def put(batches):
+        for label, texts in _labelled_texts(batches):
+            found = [bags(w, s, chosen) for w, s in features(texts)]
+            raw = lambda c: pa.array([getattr(x, c).astype(np.int32).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([x.plain for x in found], pa.int64()), raw("times"), raw("size"), raw("feature")], ["toxic", "plain", "times", "size", "feature"])
+
+    got = sorted(rows.mapInArrow(put, "toxic int, plain long, times binary, size binary, feature binary").collect(), key=lambda r: (r["toxic"], r["plain"], bytes(r["feature"]), bytes(r["times"]), bytes(r["size"])))
+    scratch.drop(rows, counts)
     y = np.array([r["toxic"] for r in got], np.int64)
     weight = tuple(there.get(x, 0) / max(1, (y == x).sum()) for x in (0, 1))
-    return fit([np.frombuffer(r["words"], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in got], [np.frombuffer(r["firsts"], np.int32) for r in got], y, weight)
+    whole = lambda x: np.frombuffer(x, np.int32)
+    return descend([Bags(r["plain"], whole(r["times"]), whole(r["size"]), whole(r["feature"])) for r in got], y, chosen, weight)
+
+
+def _total(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """-log of the probability that no sentence is toxic; weak sentences count by their mean."""
+    loss, weak = _softplus(z), z < np.log(WEAK / (1 - WEAK))
+    return np.bincount(doc, np.where(weak, 0.0, loss), n) + np.bincount(doc, np.where(weak, loss, 0.0), n) / np.maximum(np.bincount(doc, weak, n), 1)
+
+
+def judge_texts(texts: list[str | None], m: Model, threshold: float = 0.3) -> tuple[np.ndarray, list[list[dict]]]:
+    """The score of each text and, where it reaches the threshold, the sentences to blame: those that reach it alone, or else the worst."""
+    out, spans = np.zeros(len(texts)), [[] for _ in texts]
+    for at, b in blocks(texts, lower=True, sep=NO_LETTER):
+        z, first, doc = _logits(b, m)
+        own = np.clip(-np.expm1(-_total(z, doc, b.n)), 0.0, 1.0) + 0.0  # no negative zeros
+        out[at : at + b.n] = own
+        cut, last = np.searchsorted(doc, np.arange(b.n + 1)), np.append(first[1:], len(b.word)) - 1
+        for i in np.flatnonzero((own >= threshold) & (np.diff(cut) > 0)):
+            p = 1 / (1 + np.exp(-z[cut[i] : cut[i + 1]]))
+            worst = np.flatnonzero(p >= threshold) if p.max() >= threshold else [int(np.argmax(p))]
+            spans[at + i] = [{"start": int(b.start[first[k]] - b.at[i]), "end": int(b.end[last[k]] - b.at[i]), "score": float(p[k - cut[i]])} for k in worst + cut[i]]
+    return out, spans
+
+
+def score_texts(texts: list[str | None], m: Model) -> np.ndarray:
+    return judge_texts(texts, m, np.inf)[0]
 
 
 def toxicity(docs: DataFrame, model: Model) -> Column:
@@ -182,22 +268,19 @@ def toxicity(docs: DataFrame, model: Model) -> Column:
     return score(docs["text"])
 
 
-def offending(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, start, end (bytes of the UTF-8 text), score of each sentence at or above the threshold."""
+def judged(docs: DataFrame, model: Model, threshold: float = 0.3) -> Column:
+    """A struct of score and ``offending``: start, end (bytes of the UTF-8 text) and score of the sentences to blame."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            ids, rows = batch.column("doc_id").to_pylist(), {"doc_id": [], "start": [], "end": [], "score": []}
-            for at, b in blocks(batch.column("text").to_pylist(), lower=True, sep=NO_LETTER):
-                z, first, doc = _logits(b, held.value)
-                last = np.append(first[1:], len(b.word)) - 1
-                p = 1 / (1 + np.exp(-z)) if len(z) else z
-                for k in np.flatnonzero(p >= threshold):
-                    base = b.at[doc[k]]
-                    for c, v in zip(rows, (ids[at + doc[k]], int(b.start[first[k]] - base), int(b.end[last[k]] - base), float(p[k])), strict=True):
-                        rows[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["end"], pa.int64()), pa.array(rows["score"], pa.float64())], list(rows))
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, score double")
+    @F.pandas_udf("score double, offending array<struct<start: long, end: long, score: double>>")
+    def judge(text: pd.Series) -> pd.DataFrame:
+        score, spans = judge_texts(text.tolist(), held.value, threshold)
+        return pd.DataFrame({"score": score, "offending": spans})
+
+    return judge(docs["text"])
+
+
+def offending(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """doc_id, start, end, score of each sentence to blame for a document at or above the threshold."""
+    return docs.select("doc_id", F.explode(judged(docs, model, threshold)["offending"]).alias("s")).select("doc_id", "s.*")

@@ -622,6 +622,55 @@ def test_toxicity_is_noisy_or_of_sentences(spark):
     assert [(r.doc_id, r.start, r.end) for r in spans] == [(1, 12, 25)]
 
 
+def test_toxicity_trained_in_spark_is_trained_in_place(spark, docs, rows):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    got = toxicity.train(docs, labels, n_features=10**6)
+    own = sorted((toxic[r.doc_id], r.text) for r in rows if r.doc_id in toxic)
+    f = list(toxicity.features([t for _, t in own]))
+    y = np.array([y for y, _ in own])
+    want = toxicity.fit([a for a, _ in f], [b for _, b in f], y, n_features=10**6)
+    assert np.array_equal(got.check, want.check) and got.check.any()
+    texts = [r.text for r in rows]
+    assert toxicity.score_texts(texts, got) == pytest.approx(toxicity.score_texts(texts, want), abs=1e-3)
+
+
+def test_toxicity_bags_count_alike_sentences_once():
+    text = "One fool here. A calm day. " * 50 + "Two fools. One fool here."
+    (words, firsts), = toxicity.features([text])
+    ones = toxicity.features(["fool"]), toxicity.features(["fools"])
+    chosen = np.unique(np.concatenate([w[w > 0] for f in ones for w, _ in f]))
+    b = toxicity.bags(words, firsts, chosen)
+    assert b.plain == 50 and sorted(b.times.tolist()) == [1, 51] and b.size.sum() == len(b.feature)
+    none = toxicity.bags(words, firsts, np.empty(0, np.uint32))
+    assert none.plain == len(firsts) == 102 and not len(none.times)
+
+
+def test_toxicity_of_long_clean_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    m = queries.toxic_model(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").limit(600).collect()]
+    alone = toxicity.score_texts(clean, m)
+    assert np.mean(alone < 0.3) > 0.98
+    clean = [t for t, s in zip(clean, alone, strict=True) if s < 0.1]
+    long = ["\n".join(clean[i::3]) for i in range(3)]
+    assert min(map(len, long)) > 100_000
+    assert max(toxicity.score_texts(long, m)) < 0.3
+    toxic = [r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").limit(20).collect()]
+    score, spans = toxicity.judge_texts([f"{a}\n{b}" for a, b in zip(long * 7, toxic, strict=False)], m)
+    assert np.mean(score >= 0.3) > 0.8
+    for s, own in zip(score, spans, strict=True):
+        assert bool(own) == (s >= 0.3)
+
+
+def test_toxicity_of_a_doc_id_in_many_rows(spark):
+    data = [(1, "you fool"), (1, "a fool"), (2, "calm day"), (2, "calm day"), (3, "fool fool"), (4, "old fool"), (5, None), (6, ""), (None, "x")] + [(i, f"calm sea {i}") for i in range(10, 40)]
+    labels = [(1, 1), (2, 0), (3, 1), (4, 1), (4, 0), (5, 0), (6, 1), (None, 1), (7, None)] + [(i, 0) for i in range(10, 40)]
+    m = toxicity.train(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert toxicity.score_texts(["fool", "calm day"], m)[0] > 0.5 > toxicity.score_texts(["fool", "calm day"], m)[1]
+
+
 def test_toxicity_of_odd_rows(odd, spark, docs, none):
     m = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.s for r in odd.select(toxicity.toxicity(odd, m).alias("s")).collect()] == [0.0] * len(ODD)
