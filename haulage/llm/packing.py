@@ -18,6 +18,7 @@ Repeated rows are packed one by one. An empty table gives an empty result. Other
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -109,8 +110,9 @@ def piece_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of texts as the tokenizer gives them.
 
-    Byte-level BPE works on each piece of the text alone, so equal pieces are encoded once: pieces are found
-    and hashed (64 bits) in numpy, and only those not met before go to the tokenizer.
+    Byte-level BPE works on each piece of the text alone, so equal pieces are encoded once: pieces are found in
+    numpy, told apart by a hash that is checked character by character, and only those not met before go to the
+    tokenizer. Texts that name an added token, or have characters beyond the table, go to it whole.
     """
 
     def __init__(self, path: str):
@@ -118,14 +120,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None  # the tokenizer cuts these out before pieces are made
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}  # the byte-level alphabet: hidden bytes get characters from 256 on
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
         self.begin = np.empty(1 << 18, np.int64)
         self.size = np.empty(1 << 18, np.int64)
@@ -133,7 +136,7 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], hashes: list[int]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Pieces are final, so they go straight to the BPE model, in its alphabet of one character a byte."""
         step, table = self.tokenizer.model.tokenize, self.alphabet
         found = [[x.id for x in step(p.encode().decode("latin-1").translate(table))] for p in pieces]
@@ -148,7 +151,16 @@ class Encoder:
         self.size[n0 : n0 + n] = size
         self.begin[n0 : n0 + n] = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        self.place.update(zip(hashes, range(n0, n0 + n), strict=True))
+        self.place.update(zip(pieces, range(n0, n0 + n), strict=True))
+
+    @staticmethod
+    def _equal(cp: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, back: np.ndarray) -> bool:
+        """Whether all pieces of one hash are the same characters."""
+        size, like = end - start, one[back]
+        if (size != size[like]).any():
+            return False
+        shift = np.repeat(start[like] - start, size)  # pieces follow each other without gaps
+        return bool((cp == cp[np.arange(len(cp)) + shift]).all()) if len(cp) else True
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
@@ -162,15 +174,16 @@ class Encoder:
         _, pow_, inv = _tables(len(cp) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CHAR[cp] * pow_[: len(cp)], dtype=np.uint64)))
         h = (sums[end] - sums[start]) * inv[start]
-        known, one, back = np.unique(h, return_index=True, return_inverse=True)
+        _, one, back = np.unique(h, return_index=True, return_inverse=True)
+        if not self._equal(cp, start, end, one, back):
+            one = back = np.arange(len(start))
         if len(self.place) > _REMEMBER:
             self.clear()
-        keys = known.tolist()
-        which = np.fromiter((self.place.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(which < 0)
-        if len(new):
-            which[new] = np.arange(len(self.place), len(self.place) + len(new))
-            self._learn([joined[i:j] for i, j in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)], known[new].tolist())
+        pieces = [joined[i:j] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        new = list(dict.fromkeys(p for p in pieces if p not in self.place))
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
         begin, size = self.begin[which][back], self.size[which][back]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -182,7 +195,7 @@ class Encoder:
         held, size = [], 0
         for t in texts:
             t = t or ""
-            plain = t.isascii() or np.frombuffer(t.encode("utf-32-le"), np.uint32).max() < _PLAIN
+            plain = (t.isascii() or np.frombuffer(t.encode("utf-32-le"), np.uint32).max() < _PLAIN) and not (self.added and self.added.search(t))
             if held and (not plain or size + len(t) > _CHUNK):
                 yield from self._chunk(held)
                 held, size = [], 0

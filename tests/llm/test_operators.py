@@ -390,9 +390,15 @@ def test_bundle_is_the_sum_of_bound_trigrams():
 # -- 6 --------------------------------------------------------------------------------------------------------
 
 
+def untouched(texts):
+    """The contract: the tokenizer as its file makes it."""
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(queries.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+
+
 def check_packing(source, out, window=2048):
-    enc = packing.Encoder(queries.tokenizer_path())
-    full = [ids + [1] for ids in enc._ids([t or "" for _, t in source])]
+    full = [ids + [1] for ids in untouched([t or "" for _, t in source])]
     by_doc = defaultdict(list)
     for r in out:
         by_doc[r.doc_id].append(r)
@@ -431,7 +437,16 @@ def test_encoder_is_the_tokenizer():
     enc = packing.Encoder(queries.tokenizer_path())
     rng = random.Random(0)
     texts = ["".join(rng.choice("ab'stredvlm  \n\t1²½.,!é\xa0\x85\x1c-") for _ in range(rng.randrange(40))) for _ in range(3000)] + ["東京 o’clock", "it's we'll 'd"]
-    assert [x.tolist() for x in enc.encode(texts)] == enc._ids(texts)
+    texts += ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>", "<|endoftext", "x <|endoftext|>\n"]
+    assert [x.tolist() for x in enc.encode(texts)] == untouched(texts)
+    assert next(enc.encode(["a<|endoftext|>b"])).tolist() == [64, 50256, 65]
+
+
+def test_encoder_tells_pieces_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(packing, "_CHAR", np.full_like(packing._CHAR, 3))  # pieces of one length have one hash
+    enc = packing.Encoder(queries.tokenizer_path())
+    texts = ["one two six ten", "ten cat dog 123", "", "one one"]
+    assert [x.tolist() for x in enc.encode(texts)] == untouched(texts)
 
 
 def test_nnls_meets_its_conditions():
