@@ -159,8 +159,10 @@ class Encoder:
         size, like = end - start, one[back]
         if (size != size[like]).any():
             return False
-        shift = np.repeat(start[like] - start, size)  # pieces follow each other without gaps
-        return bool((cp == cp[np.arange(len(cp)) + shift]).all()) if len(cp) else True
+        small = cp.astype(np.uint16)  # the table's code points are
+        at = np.repeat((start[like] - start).astype(np.intp), size)  # pieces follow each other without gaps
+        at += np.arange(len(cp))
+        return bool(np.array_equal(small, small.take(at)))
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
