@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -238,6 +239,29 @@ def test_html_of_odd_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page, n",
+    [
+        ("<div>x" * 100_000, 100_000),
+        ("<div class=a1>x</p></b>" * 30_000, 30_000),
+        ("<b><div><i>" + "<i>" * 30_000 + "</b>" * 30_000 + "x", 1),
+        ("<p>x" * 50_000 + "</div>" * 50_000, 50_000),
+        ("x" + "<a 'b " * 30_000 + "<a \"" * 30_000, 1),
+        ("x" + "<![CDATA[" * 50_000, 1),
+        ("x " + "< " * 100_000, 100_001),
+        ("<title></head>" * 50_000 + "x", 1),
+        ("x<!-- " * 50_000, 1),
+    ],
+)
+def test_html_is_read_in_linear_time(page, n):
+    began = time.process_time()
+    got = html.parse(page)
+    text = html.take(got, html.best_path(html.scores(got)))
+    assert time.process_time() - began < 4
+    assert len(html.take(got, None).split()) == n or page.startswith("x")
+    assert text or n == 1
+
+
 # -- 4 --------------------------------------------------------------------------------------------------------
 
 
