@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
@@ -23,8 +22,10 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session, or a local one where the session names none."""
+    """The shared folder of the session; a local one only where the session names none and runs on this machine alone."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root or f"{LOCAL_SCRATCH}/{os.environ.get('USER', 'haulage')}"
 
 
@@ -44,7 +45,7 @@ def shuffle_files_end_with_query(spark: SparkSession):
 
 
 class Scratch:
-    """Tables written as Parquet under the shared folder: they cut lineage and outlive executors."""
+    """Tables written as Parquet under the shared folder: they cut lineage, outlive executors and are deleted with the session."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -57,6 +58,9 @@ class Scratch:
         path = f"{self.base}/{self.n}"
         with shuffle_files_end_with_query(self.spark):
             df.write.mode("overwrite").parquet(path)
+        if self.n == 1:  # what is still there when the session ends goes with it
+            base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(base)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
         gc.collect()  # what no table refers to any more: Spark then deletes its shuffle files, on the executors too
@@ -75,6 +79,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def carried(df: DataFrame, *but: str) -> Column:
+    """All columns of df as one struct, so that no name of theirs meets an operator's own; but those named."""
+    left = {c.lower() for c in but}
+    names = [c for c in df.columns if c.lower() not in left]
+    return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).alias("_"))
+
+
+def unpacked(df: DataFrame, struct: str, *but: str) -> list[Column]:
+    """The columns of a struct that ``carried`` made, but those named."""
+    left = {c.lower() for c in (*but, "_")}
+    return [F.col(struct)[f.name].alias(f.name) for f in df.schema[struct].dataType.fields if f.name.lower() not in left]
+
+
 def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality of the keys of a and b."""
     on = F.lit(True)
@@ -158,11 +175,6 @@ def components(scratch: Scratch, links: DataFrame, rounds: int = 64) -> DataFram
     return nodes.unionByName(roots)
 
 
-def local_folder() -> str:
-    """For tests only."""
-    return tempfile.mkdtemp(prefix="haulage-")
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did, besides what the cluster ships."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -9,7 +9,8 @@ compared with the line there; the first occurrence stays. A chunk that overlaps
 Nulls: a null text stays null, a null doc_id sorts before others (its occurrence is the first). Rows equal in
 doc_id and text are one document: they are treated alike. Empty texts stay. A document of whose lines nothing
 with a word is left is dropped unless ``keep_empty``: all it said is said elsewhere. An empty table gives an
-empty result. Extra columns are carried; ``n_chars`` is brought up to date where there is one.
+empty result. Extra columns are carried as they are, whatever their names; ``n_chars`` is brought up to date
+where there is one. Texts of any length are taken whole, as rows of lines; one line of any length is one value.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, carried
 
 #: Shorter passages stay.
 MIN_WORDS = 25
@@ -40,7 +41,7 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeated(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, lo = hi of each line to remove, before bytes are compared, with h and the place (first) that it repeats."""
+    """doc_id, th, lo of each line to remove, before bytes are compared, with the place (first) that it repeats, and that place's hash h."""
     all_ = scratch.keep(chunks(docs, max(min_words, 1)))
     again = all_.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("first")).where("n > 1")
     again = scratch.keep(again.select("h", "first"))
@@ -51,33 +52,36 @@ def repeated(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> D
     line = hit.select("doc_id", "th", (F.col("first.lo") - F.col("lo")).alias("by"), "first", F.explode(F.sequence("lo", "hi")).alias("lo"))
     first = F.min(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), (F.col("lo") + F.col("by")).alias("lo")))
     out = line.groupBy("doc_id", "th", "lo").agg(first.alias("first"))
-    return scratch.keep(out.select("doc_id", "th", "lo", F.col("lo").alias("hi"), F.xxhash64("first").alias("h"), "first"))
+    out = scratch.keep(out.select("doc_id", "th", "lo", F.xxhash64("first").alias("h"), "first"))
+    scratch.drop(all_, again)
+    return out
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = False) -> DataFrame:
     """docs with repeated passages taken out of ``text``."""
     scratch = Scratch(docs.sparkSession, "lines")
-    mark = repeated(scratch, docs, min_words)
-    at = lambda: F.struct("lo", "hi", "h")
-    here = mark.select("doc_id", "th", at().alias("c"), F.lit(False).alias("is_first"))
-    there = mark.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct(F.col("first.lo").alias("lo"), (F.col("first.lo") + F.col("hi") - F.col("lo")).alias("hi"), "h").alias("c"), F.lit(True).alias("is_first")).distinct()
-    wanted = here.unionByName(there).groupBy("doc_id", "th").agg(F.collect_list(F.struct("c", "is_first")).alias("wanted"))  # at most twice a document's own lines
+    mark = repeated(scratch, docs.select("doc_id", "text"), min_words)
+    here = mark.select("doc_id", "th", "lo", "h", F.lit(False).alias("is_first"))
+    there = mark.select("first.*", "h").distinct().select("doc_id", "th", "lo", "h", F.lit(True).alias("is_first"))
+    wanted = here.unionByName(there).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "h", "is_first")).alias("wanted"))  # at most twice a document's own lines
     wanted = scratch.keep(wanted.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "wanted"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    lines = lambda: F.split("text", "\n")
-    texts = rows.select("doc_id", "_th", "text").join(wanted.hint("merge"), on).select("doc_id", "_th", lines().alias("l"), F.explode("wanted").alias("w"))
-    texts = texts.select("doc_id", "_th", F.col("w.c.lo").alias("lo"), F.col("w.c.hi").alias("hi"), F.col("w.c.h").alias("h"), "w.is_first", F.array_join(F.slice("l", F.col("w.c.lo") + 1, F.col("w.c.hi") - F.col("w.c.lo") + 1), "\n").alias("bytes"))
-    # every text of one hash is compared with the first occurrence's: equal bytes are removed, others (a collision) stay
-    same = texts.groupBy("h", "bytes").agg(F.max("is_first").alias("ok")).where("ok").select("h", F.xxhash64("bytes", F.lit(1)).alias("h2"), F.octet_length("bytes").alias("n"))
-    sure = texts.where("not is_first").select("doc_id", "_th", "lo", "hi", "h", F.xxhash64("bytes", F.lit(1)).alias("h2"), F.octet_length("bytes").alias("n")).join(same, ["h", "h2", "n"], "left_semi")
-    gone = sure.groupBy("doc_id", "_th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("gone"))
-    gone = scratch.keep(gone.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "gone"))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
+    lines = F.split("text", "\n")
+    # the bytes of every line that may go and of every first occurrence, read from the texts once
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(wanted.hint("merge"), on)
+    texts = texts.select("doc_id", "th", lines.alias("l"), F.explode("wanted").alias("w")).select("doc_id", "th", "w.*", F.get("l", F.col("w.lo")).alias("bytes"))
+    texts = scratch.keep(texts)
+    # one h is one first occurrence: lines with its very bytes go, others (a collision of hashes) stay
+    first = texts.where("is_first").groupBy("h").agg(F.min("bytes").alias("first"))
+    sure = texts.where("not is_first").join(first.hint("merge"), "h").where(F.col("bytes") == F.col("first"))
+    gone = sure.groupBy("doc_id", "th").agg(F.collect_set("lo").alias("gone"))
+    gone = scratch.keep(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "gone"))
+    scratch.drop(mark, wanted, texts)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", carried(docs, "text").alias("row"))
     out = rows.join(gone.hint("merge"), on, "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines(), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    out = out.withColumn("text", text)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")))
     if not keep_empty:
         out = out.where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("gone").isNull(), F.col("row")["n_chars"]).otherwise(F.char_length("text").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -9,7 +9,8 @@ ceiling of the expectation, long and short documents are taken alike, and reruns
 
 Nulls: a null text has no words; a null source is one source, the last; null doc_ids come first in ties.
 Empty texts have size 0 and may be taken without adding words. Repeated rows are taken one by one. An
-empty table gives an empty result. Other columns are carried only where asked for.
+empty table gives an empty result. Texts of any length are counted whole. Other columns are carried only where
+asked for.
 """
 
 from __future__ import annotations
@@ -49,10 +50,11 @@ def _offset(source: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, keep: Sequence[str] = (), seed: str = "mix", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; keep names other columns to carry."""
+    """doc_id and source with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; keep names other columns to carry, results come before columns of their names."""
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("_crc"))
+    more = [c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken")]
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in more] or [F.lit(None).alias("_")]).alias("_kept"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("_crc"))
     ranked = running(scratch, rows, ["source"], ["size", "doc_id", "_crc"])
     share = targets(ranked._dealt.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     share = share.select(F.col("source").alias("_s"), "source_size", "target", "expected")
@@ -60,4 +62,5 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), seed: str = "mix", weights: S
     u = _offset(F.col("source"), seed)
     crossed = F.floor(F.col("expected") * (F.col("_rank") + 1) + u) - F.floor(F.col("expected") * F.col("_rank") + u)
     out = out.withColumn("copies", F.greatest(F.lit(0).cast("long"), F.least(F.lit(most).cast("long"), crossed.cast("long"))))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_s", "_rank", "_crc", "expected")
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("doc_id", "source", *[F.col("_kept")[c].alias(c) for c in more], "size", "source_size", "target", "copies", "taken")
