@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where intermediates go when the session names no folder (tests on one machine).
 LOCAL_SCRATCH = "/tmp/checkpoints"
-#: A side of a join is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 100_000
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -3,12 +3,12 @@
 A node of the tree is split along its widest metadata dimension, at the place where the bytes to the left
 come to the share of the leaves on that side, until every leaf holds about the target bytes. All nodes of a
 level are split together. A split searches the border of a 63-bit key (31 bits of the dimension, then 32
-hashed bits that break ties) by histograms of 4096 bins, each pass zooming into the bin of the border, so
-the driver sees at most nodes x 4096 sums a pass, whatever the number of documents, and a value held by a
-third of all rows is still divided.
+hashed bits that break ties) by histograms of 4096 bins, each pass zooming into the bin of the border; nodes,
+histograms and borders are tables, and a value held by a third of all rows is still divided. The dimensions of
+documents are source and lang (by hash: equal values stay together), size and doc_id (age).
 
 Nulls: a null text has no bytes (size 1), a null lang or source is a value of its own, a null doc_id is
-hashed as such. Repeated rows are placed one by one. An empty table gives an empty result. Columns of the
+is at the low end of its dimension. Repeated rows are placed one by one. Of equally wide dimensions the first is split. An empty table gives an empty result. Columns of the
 input beyond those named are ignored, whatever their names.
 """
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, running
+from .common import Scratch, running
 
 _SIDE = 31
 _TIE = 32
@@ -34,17 +34,6 @@ def _scaled(c: Column, lo, hi) -> Column:
     return F.coalesce(F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * float(2**_SIDE - 1)), F.lit(0)).cast("long")
 
 
-def _values(spark, names: Sequence[str], rows: list[tuple]) -> DataFrame:
-    """A small table as literals, so that no Python runs on the executors."""
-    body = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
-
-
-def _with(df: DataFrame, small: DataFrame, n: int, on: str) -> DataFrame:
-    """Join a table of n rows to df by ``on``: broadcast only within the checked bound."""
-    return df.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
-
-
 def kd_shards(
     scratch: Scratch, docs: DataFrame, size: str, dims: Sequence[str], tie: Column,
     n_shards: int | None = None, target_bytes: int | None = None, tolerance: float = 0.0005,
@@ -53,64 +42,58 @@ def kd_shards(
 
     ``dims`` are numeric columns of docs; their ranges are compared after scaling each to its range in all rows.
     A border is searched until its error is below tolerance times a leaf's bytes, or the key is exhausted.
+    Nodes, their histograms and borders are tables: the driver sees counts only, whatever the number of leaves.
     """
-    spark = docs.sparkSession
     ends = docs.agg(F.sum(size).alias("bytes"), *[f(d).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     total = int(ends["bytes"] or 0)
     leaves = n_shards or max(1, -(-total // int(target_bytes)))
     slack = max(1.0, tolerance * total / leaves)
-    out = docs.select("*", tie.bitwiseAND(F.lit(2**_TIE - 1)).alias("_tie"), *[_scaled(F.col(d), ends[f"lo{i}"], ends[f"hi{i}"]).alias(f"_d{i}") for i, d in enumerate(dims)], F.lit(0).cast("long").alias("_node"))
-    out = scratch.keep(out)
-    k = len(dims)
-    #: node -> (first leaf, leaves); a node is named by its first leaf
-    nodes = {0: leaves}
-    while any(n > 1 for n in nodes.values()) and total:
-        spread = out.groupBy("_node").agg(F.sum(size).alias("bytes"), *[(F.max(f"_d{i}") - F.min(f"_d{i}")).alias(f"w{i}") for i in range(k)]).collect()
-        split = {}
-        for r in spread:
-            n = nodes[r["_node"]]
-            if n > 1:
-                split[r["_node"]] = {"dim": max(range(k), key=lambda i: (r[f"w{i}"], -i)), "left": n // 2, "want": r["bytes"] * (n // 2) / n, "lo": 0, "hi": 2**63 - 1, "below": 0, "done": False}
-        keyed = None
-        while open_ := [x for x, s in split.items() if not s["done"]]:
-            if keyed is None:
-                which = _values(spark, ["_node", "dim"], [(x, s["dim"]) for x, s in split.items()])
-                key = F.coalesce(*[F.when(F.col("dim") == i, F.col(f"_d{i}")) for i in range(k)])
-                keyed = _with(out, which, len(split), "_node").withColumn("_key", F.shiftleft(key, _TIE) + F.col("_tie"))
-            now = _values(spark, ["_node", "lo", "hi", "width"], [(x, split[x]["lo"], split[x]["hi"], max(0, (split[x]["hi"] - split[x]["lo"]).bit_length() - _BITS)) for x in open_])
-            inside = _with(keyed, now, len(open_), "_node").where((F.col("_key") >= F.col("lo")) & (F.col("_key") <= F.col("hi")))
-            hist = inside.groupBy("_node", F.expr("shiftright(_key - lo, cast(width as int))").alias("bin")).agg(F.sum(size).alias("bytes"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).orderBy("_node", "bin").collect()
-            bins: dict[int, list] = {}
-            for r in hist:
-                bins.setdefault(r["_node"], []).append(r)
-            for x in open_:
-                s = split[x]
-                below, hit = s["below"], None
-                for r in bins.get(x, []):
-                    if below + r["bytes"] > s["want"]:
-                        hit = r
-                        break
-                    below += r["bytes"]
-                if hit is None:
-                    s["done"], s["lo"] = True, s["hi"] + 1
-                else:
-                    s["lo"], s["hi"], s["below"] = hit["lo"], hit["hi"], below
-                    if hit["bytes"] <= slack or hit["lo"] == hit["hi"]:  # the border goes to the nearer side of the bin
-                        s["done"] = True
-                        if s["want"] - below > below + hit["bytes"] - s["want"]:
-                            s["lo"] = hit["hi"] + 1
-        borders = [(x, split[x]["dim"], split[x]["lo"], x + split[x]["left"]) for x in split]
-        if not borders:
-            break
-        cut = _values(spark, ["_node", "dim", "border", "right"], borders)
-        cut = F.broadcast(cut) if len(borders) <= BROADCAST_ROWS else cut
-        key = F.shiftleft(F.coalesce(*[F.when(F.col("dim") == i, F.col(f"_d{i}")) for i in range(k)]), _TIE) + F.col("_tie")
-        moved = out.join(cut, "_node", "left").withColumn("_node", F.when(F.col("right").isNotNull() & (key >= F.col("border")), F.col("right")).otherwise(F.col("_node")))
-        new = scratch.keep(moved.select(*out.columns))
-        scratch.drop(out)
+    at = [f"_d{i}" for i in range(len(dims))]
+    out = docs.select("*", tie.bitwiseAND(F.lit(2**_TIE - 1)).alias("_tie"), *[_scaled(F.col(d), ends[f"lo{i}"], ends[f"hi{i}"]).alias(c) for i, (d, c) in enumerate(zip(dims, at, strict=True))])
+    # a node is named by its first leaf; _leaves are those below it
+    out = scratch.keep(out.withColumn("_node", F.lit(0).cast("long")).withColumn("_leaves", F.lit(leaves).cast("long")))
+    key = F.shiftleft(F.get(F.array(*at), F.col("dim")), _TIE) + F.col("_tie")
+    for _ in range((leaves - 1).bit_length() if total else 0):
+        wide = F.array(*[F.max(c) - F.min(c) for c in at])
+        split = out.where("_leaves > 1").groupBy("_node", "_leaves").agg(F.sum(size).alias("bytes"), wide.alias("w"))
+        left = F.floor(F.col("_leaves") / 2)
+        split = split.select(
+            "_node", (F.array_position("w", F.array_max("w")) - 1).cast("int").alias("dim"), left.alias("left"), (F.col("bytes") * left / F.col("_leaves")).alias("want"),
+            F.lit(0).cast("long").alias("lo"), F.lit(2**63 - 1).alias("hi"), F.lit(0).cast("long").alias("below"), F.lit(False).alias("done"),
+        )
+        split = first = scratch.keep(split)
+        keyed = out.join(split.select("_node", "dim"), "_node").select("_node", key.alias("key"), F.col(size).alias("_size"))
+        while not split.where("not done").isEmpty():  # each pass sees 12 bits more of the key
+            now = split.where("not done").select("_node", "lo", "hi", F.greatest(F.lit(0), F.length(F.bin(F.col("hi") - F.col("lo"))) - _BITS).alias("width"))
+            inside = keyed.join(now, "_node").where((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
+            hist = inside.groupBy("_node", F.expr("shiftright(key - lo, cast(width as int))").alias("bin")).agg(F.sum("_size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"))
+            upto = F.sum("bytes").over(Window.partitionBy("_node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # at most 2**_BITS + 1 bins of a node
+            found = hist.withColumn("upto", upto).join(split.select("_node", "want", "below"), "_node").where(F.col("below") + F.col("upto") > F.col("want"))
+            found = found.groupBy("_node").agg(F.min(F.struct("bin", "bytes", "first", "last", "upto")).alias("hit"))
+            met = split.join(found, "_node", "left")
+            none, hit = F.col("hit").isNull(), F.col("hit")
+            before = F.col("below") + hit["upto"] - hit["bytes"]
+            over = F.col("want") - before > before + hit["bytes"] - F.col("want")  # the border goes to the nearer side of the bin
+            sure = (hit["bytes"] <= slack) | (hit["first"] == hit["last"])
+            new = met.select(
+                "_node", "dim", "left", "want",
+                F.when(F.col("done"), F.col("lo")).when(none, F.col("hi") + F.when(F.col("hi") < 2**63 - 1, 1).otherwise(0)).when(sure & over, hit["last"] + 1).otherwise(hit["first"]).alias("lo"),
+                F.when(F.col("done") | none, F.col("hi")).otherwise(hit["last"]).alias("hi"),
+                F.when(F.col("done") | none, F.col("below")).otherwise(before).alias("below"),
+                (F.col("done") | none | sure).alias("done"),
+            )
+            old, split = split, scratch.keep(new)
+            if old is not first:
+                scratch.drop(old)
+        cut = split.select("_node", "dim", "left", F.col("lo").alias("border"))
+        right = key >= F.col("border")
+        moved = out.join(cut, "_node", "left")
+        node = F.when(right, F.col("_node") + F.col("left")).otherwise(F.col("_node"))
+        below = F.when(F.col("left").isNull(), F.col("_leaves")).when(right, F.col("_leaves") - F.col("left")).otherwise(F.col("left"))
+        new = scratch.keep(moved.select(*[c for c in out.columns if c not in ("_node", "_leaves")], node.alias("_node"), below.alias("_leaves")))
+        scratch.drop(out, *{id(x): x for x in (first, split)}.values())
         out = new
-        nodes = {y: n for x, n in nodes.items() for y, n in (((x, n),) if x not in split else ((x, split[x]["left"]), (x + split[x]["left"], n - split[x]["left"])))}
-    return out.withColumn("shard", F.col("_node").cast("int")).drop("_node", *[f"_d{i}" for i in range(k)])
+    return out.withColumn("shard", F.col("_node").cast("int")).drop("_node", "_leaves", *at)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, target_bytes: int | None = None) -> DataFrame:
@@ -122,7 +105,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, target_bytes: int | Non
     code = lambda c: F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.xxhash64(c).bitwiseAND(F.lit(2**31 - 1)))
     text = F.coalesce(F.col("text"), F.lit(""))
     meta = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), code("source").alias("source_code"), code("lang").alias("lang_code"))
-    meta = meta.withColumn("id_code", F.xxhash64("doc_id", "text_crc32"))
-    placed = kd_shards(scratch, meta, "size", ["source_code", "lang_code", "size", "id_code"], F.xxhash64("id_code", "size"), None if target_bytes else n_shards, target_bytes)
+    meta = meta.withColumn("id", F.col("doc_id").cast("double"))
+    placed = kd_shards(scratch, meta, "size", ["source_code", "lang_code", "size", "id"], F.xxhash64("doc_id", "text_crc32", "size"), None if target_bytes else n_shards, target_bytes)
     ranked = running(scratch, placed, ["shard"], ["_tie", "doc_id", "text_crc32"])
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
