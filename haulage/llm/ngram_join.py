@@ -19,7 +19,9 @@ and no link between different classes is lost.
 
 Documents with equal sets (128-bit digest) are one node from the start. Nulls: a null text is empty and linked
 with nothing; rows with a null doc_id are returned with a null component_id and link nothing. Repeated rows
-are returned each. Rows that share a doc_id are one document. An empty table gives an empty result.
+are returned each. Rows that share a doc_id are one document. An empty table gives an empty result. Texts of
+any length are taken whole. ``ngram_join`` reads doc_id and text alone, ``one_of_each`` carries the others as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, components, ship, shuffle_files_end_with_query
+from .common import Scratch, carried, components, ship, shuffle_files_end_with_query
 from .words import blocks, shingle_sets
 
 BITS = 512
@@ -120,34 +122,37 @@ def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, docs: DataFrame
     """Of the pairs (a, b) those whose bitmaps may, and whose whole sets do reach the threshold.
 
     Whole sets are several times their texts, so they are made from the texts again, and only for documents of
-    pairs whose bitmaps may. The set of b travels to a's once for each pair. Pairs are rows of two numbers: within
-    the checked bound they are broadcast to where texts and sets are read, beyond it they meet by doc_id.
+    pairs whose bitmaps may. The set of b travels to a's once for each pair. Joins end in a written table before
+    pairs are made distinct, so that Spark may split a document with very many pairs among tasks.
     """
     info = sets.select("doc_id", "n", "excess", *[f"b{i}" for i in range(_LONGS)])
     pairs = pairs if hasattr(pairs, "_kept_at") else scratch.keep(pairs)
 
-    def near(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    def once(df: DataFrame) -> DataFrame:
+        all_ = scratch.keep(df.select("a", "b"))
+        out = scratch.keep(all_.distinct())
+        scratch.drop(all_)
+        return out
 
-    met = _as(info, "x_").join(near(pairs), F.col("x_doc_id") == F.col("a"))
-    may = scratch.keep(met.join(_as(info, "y_"), F.col("y_doc_id") == F.col("b")).where(_may("x_", "y_", "n", "n", need, of)).select("a", "b").distinct())
+    met = _as(info, "x_").join(pairs, F.col("x_doc_id") == F.col("a"))
+    may = once(met.join(_as(info, "y_"), F.col("y_doc_id") == F.col("b")).where(_may("x_", "y_", "n", "n", need, of)))
     held = scratch.keep(may.select(F.col("a").alias("_held")).union(may.select("b")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near(held), F.col("doc_id") == F.col("_held"), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, F.col("doc_id") == F.col("_held"), "left_semi")
     sets = scratch.keep(shingle_table(texts, words, whole=True).select("doc_id", "n", "shingles"))
     # a quarter of the shingles first: what they share, and all of the rest at most, bounds the overlap
     part = F.filter("shingles", lambda h: F.pmod(h, F.lit(PART)) == 0)
     reach = lambda both, x, y: both * (need + of) >= (x + y) * need
 
     def meet(own: DataFrame, pairs: DataFrame) -> DataFrame:
-        y = _as(own, "y_").join(near(pairs), F.col("y_doc_id") == F.col("b")).drop("y_doc_id")
-        x = _as(own, "x_").join(near(pairs.select(F.col("a").alias("_a")).distinct()), F.col("x_doc_id") == F.col("_a"), "left_semi")
+        y = _as(own, "y_").join(pairs, F.col("y_doc_id") == F.col("b")).drop("y_doc_id")
+        x = _as(own, "x_").join(pairs.select(F.col("a").alias("_a")).distinct(), F.col("x_doc_id") == F.col("_a"), "left_semi")
         return y.join(x, F.col("x_doc_id") == F.col("a")).withColumn("both", F.size(F.array_intersect("x_s", "y_s")))
 
     some = meet(sets.select("doc_id", "n", part.alias("s")), may)
     most = F.col("both") + F.least(F.col("x_n") - F.size("x_s"), F.col("y_n") - F.size("y_s"))
-    left = scratch.keep(some.where(reach(most, F.col("x_n"), F.col("y_n"))).select("a", "b").distinct())
+    left = once(some.where(reach(most, F.col("x_n"), F.col("y_n"))))
     full = meet(sets.select("doc_id", "n", F.col("shingles").alias("s")), left)
-    out = scratch.keep(full.where(reach(F.col("both"), F.col("x_n"), F.col("y_n"))).select("a", "b").distinct())
+    out = once(full.where(reach(F.col("both"), F.col("x_n"), F.col("y_n"))))
     scratch.drop(pairs, may, held, sets, left)
     return out
 
@@ -221,6 +226,6 @@ def one_of_each(docs: DataFrame, words: int = 5, need: int = 80, of: int = 100)
     """docs without all but one of each class: the document that the class is named by. Rows without a doc_id stay."""
     scratch = Scratch(docs.sparkSession, "ngrams-kept")
     known = ngram_join(docs.select("doc_id", "text"), words, need, of)
-    gone = scratch.keep(known.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = scratch.keep(known.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select("doc_id", carried(docs).alias("row"))
+    return rows.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
