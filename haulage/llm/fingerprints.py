@@ -8,25 +8,36 @@ takes, of the steps up to the walk's end, the one that comes first in k's own ra
 nearly the same length are sampled at the same steps, and keeps 8 bits of what the walker saw there (four
 characters). Equal samples out of all, less what chance gives, are the likeness.
 
-Likely pairs come from bands of samples (equal in a whole band), and are verified by the likeness.
+Likely pairs come from bands of samples (equal in a whole band), and are verified by the likeness; what they
+link makes the near groups.
 
 Nulls: a null text is an empty one, and so is its fingerprint (all zeros); two empty texts are alike (1).
-Rows are ordered by doc_id descending, null last, equal doc_ids by their text; repeated rows follow each
-other. A table of one row is followed by itself. An empty table gives an empty result.
+Rows are ordered by doc_id descending, null last, equal doc_ids by their text's hash, then text; repeated rows
+follow each other. A table of one row is followed by itself. An empty table gives an empty result. Texts of any
+length are walked whole. Rows without a doc_id are in no group. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Scratch, ship
+from .common import Scratch, components, ship
 
 SAMPLES = 128
+#: Samples of a band: of texts alike to LEAST, 95 in 100 agree in one of the SAMPLES / BAND bands, of those alike to 0.9 all but one in 10,000.
+BAND = 8
+LEAST = 0.8
+#: Bytes of texts in a stretch of the order, and stretches at most (each is streamed, whatever its size).
+STRETCH = 64 << 20
+MOST_STRETCHES = 10_000
 _PERIOD = 1 << 12
 _CLASSES = 256
 _RNG = np.random.default_rng(7)
@@ -131,40 +142,71 @@ def _with_edits(pairs: list[tuple[str, str]]) -> list[tuple]:
     return out
 
 
-def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of (_bucket, _own, doc_id, text), each bucket holding a stretch of the order and, with _own false, the row that follows it.
+def _after(cut: Column, k: Column, h: Column) -> Column:
+    """Whether a row of key k and hash h stands at or behind a border, in the order of falling keys, nulls last, and rising hashes."""
+    below = k.isNull() & cut["k"].isNotNull() | (k < cut["k"])
+    return F.coalesce(below, F.lit(False)) | (k.eqNullSafe(cut["k"]) & (h >= cut["h"]))
 
-    Texts are moved once. The stretches' borders come from the key alone; one row for each stretch is known
-    to the driver.
+
+def _borders(found: list[int], n_null: int) -> list[tuple[int | None, int]]:
+    """(key, hash) borders in order. A key that several quantiles fall on, or null, is cut into as many parts by its hashes."""
+    parts = lambda m: [-(2**63) + j * (2**64 // m) for j in range(m)]
+    keys = Counter(found)
+    out: list[tuple[int | None, int]] = [(k, h) for k in sorted(keys, reverse=True) for h in parts(keys[k])]
+    return out + [(None, h) for h in parts(n_null)] if n_null else out
+
+
+def with_next(docs: DataFrame, key: str = "doc_id", stretch: int = STRETCH) -> DataFrame:
+    """Rows of (_bucket, _own, doc_id, text, _h), each bucket holding a stretch of the order and, with _own false, the row that follows it.
+
+    There are as many stretches as the texts' bytes ask for, MOST_STRETCHES at most; one row for each is known to the
+    driver. Their borders come from the keys and, for a key in very many rows, from the texts' hashes. Texts are
+    moved once.
     """
     spark = docs.sparkSession
-    n = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col(key).cast("long").alias("k"))
-    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts), reverse=True)
-    k = F.col("k")
-    # stretch 0 has the highest keys; nulls are the last
-    place = F.when(k.isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c > k)) if cuts else F.lit(0))
-    firsts = ids.select(place.alias("b"), "k").groupBy("b").agg(F.max("k").alias("k")).orderBy("b").collect()
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("with_key"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = min(MOST_STRETCHES, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size["bytes"] or 0) // stretch))
+    own = max(2, round(n * size["with_key"] / max(size["n"], 1)))
+    found = rows.agg(F.percentile_approx("k", [i / own for i in range(1, own)], 20 * own).alias("c")).first()["c"] or []
+    nulls = size["n"] - size["with_key"]
+    cuts = _borders(list(found), max(1, round(n * nulls / size["n"])) if nulls else 0)
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    # two steps of about the root of their number each, not one comparison for each border
+    step = max(1, int(len(cuts) ** 0.5))
+    literal = lambda cs: F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in cs])
+    behind = lambda c: _after(c, F.col("k"), F.col("_h"))
+    if cuts:
+        coarse = F.size(F.filter(literal(cuts[step - 1 :: step]), behind))
+        fine = F.get(F.array(*[literal(cuts[i : i + step]) for i in range(0, len(cuts), step)]), coarse)
+        place = coarse * step + F.coalesce(F.size(F.filter(fine, behind)), F.lit(0))
+    else:
+        place = F.lit(0)
+    rows = rows.withColumn("b", place)
+    rank = F.struct(F.col("k").isNull().alias("last"), F.bitwise_not("k").alias("k"), F.col("_h").alias("h"))
+    firsts = rows.groupBy("b").agg(F.min(rank).alias("r")).orderBy("b").collect()
     if not firsts:
-        return docs.select(F.lit(0).alias("_bucket"), F.lit(True).alias("_own"), key, "text").limit(0)
-    before = {firsts[i]["k"]: firsts[i - 1]["b"] for i in range(len(firsts))}  # the first row of each stretch is also sent to the one before it
-    rows = ", ".join(f"({'CAST(NULL AS BIGINT)' if x is None else f'{x}L'}, {b})" for x, b in before.items())
-    extra = spark.sql(f"SELECT * FROM VALUES {rows} AS t(fk, before)")
-    extra = F.broadcast(extra) if len(before) <= BROADCAST_ROWS else extra
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("b", place)
-    rows = rows.join(extra, F.col("k").eqNullSafe(F.col("fk")), "left")
-    to = F.when(F.col("before").isNull(), F.array(F.struct(F.col("b").alias("_bucket"), F.lit(True).alias("_own")))).otherwise(F.array(F.struct(F.col("b").alias("_bucket"), F.lit(True).alias("_own")), F.struct(F.col("before").alias("_bucket"), F.lit(False).alias("_own"))))
-    return rows.select(F.inline(to), F.col("k").alias(key), "text")
-
-
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+        return docs.select(F.lit(0).alias("_bucket"), F.lit(True).alias("_own"), F.col(key).cast("long").alias(key), F.lit("").alias("text"), F.lit(0).cast("long").alias("_h")).limit(0)
+    # the first row of each stretch is also sent to the one before it
+    to_before = [(None if r["r"]["last"] else ~r["r"]["k"], r["r"]["h"], firsts[i - 1]["b"]) for i, r in enumerate(firsts)]
+    body = ", ".join(f"({'CAST(NULL AS BIGINT)' if k is None else f'CAST({k} AS BIGINT)'}, CAST('{h}' AS BIGINT), {b})" for k, h, b in to_before)
+    extra = F.broadcast(spark.sql(f"SELECT * FROM VALUES {body} AS t(fk, fh, before)"))  # MOST_STRETCHES rows at most
+    rows = rows.join(extra, F.col("k").eqNullSafe(F.col("fk")) & (F.col("_h") == F.col("fh")), "left")
+    one = lambda b, own: F.struct(b.alias("_bucket"), F.lit(own).alias("_own"))
+    to = F.when(F.col("before").isNull(), F.array(one(F.col("b"), True))).otherwise(F.array(one(F.col("b"), True), one(F.col("before"), False)))
+    return rows.select(F.inline(to), F.col("k").alias(key), "text", "_h")
+
+
+def fingerprint_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_group of every row.
+
+    near_group is the least doc_id of the fingerprints reachable by likeness of ``least`` or more.
+    """
     spark = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "fingerprints")
     rows = with_next(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "_bucket").sortWithinPartitions("_bucket", F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), "text")
+    dealt = rows.repartition("_bucket").sortWithinPartitions("_bucket", F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), "_h", "text")
 
     def run(batches):
         last = None  # the row still without a next one, and whether its stretch is closed
@@ -198,25 +240,68 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = scratch.keep(dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
+    group = scratch.keep(near_groups(scratch, out.select("doc_id", "fingerprint"), least)).select(F.col("fingerprint").alias("_f"), "near_group")
+    met = out.join(group, F.col("fingerprint") == F.col("_f"), "left")
+    return met.select(*out.columns, F.when(F.col("doc_id").isNotNull(), F.col("near_group")).alias("near_group"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """likeness() of fingerprints in hexadecimal."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    x, y = (np.frombuffer(bytes.fromhex("".join(c)), np.uint8).reshape(len(c), -1) for c in (a, b))
+    return pd.Series(np.maximum(0.0, ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256)))
+
+
+def _bands(nodes: DataFrame, band: int) -> DataFrame:
+    """(doc_id, band): a number for each run of ``band`` samples and what they say."""
+    cut = F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", 2 * band * i + 1, 2 * band)) for i in range(SAMPLES // band)])
+    return nodes.select("doc_id", F.explode(cut).alias("band"))
+
+
+def _near(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of the pairs that are at least so alike."""
+    side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("fingerprint").alias(f"f{c}"))
+    met = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _alike("fa", "fb").alias("likeness")))
+    return met.where(F.col("likeness") >= least)
+
+
+def near_pairs(marks: DataFrame, least: float = LEAST, band: int = BAND) -> DataFrame:
+    """(a, b, likeness) of all rows of (doc_id, fingerprint) that agree in a whole band of samples and are at least so alike.
+
+    Each distinct fingerprint is one node, named by its least doc_id. All pairs: for groups see ``near_groups``.
+    """
+    scratch = Scratch(marks.sparkSession, "near")
+    nodes = scratch.keep(marks.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    bands = _bands(nodes, band)
+    pairs = bands.select(F.col("doc_id").alias("a"), "band").join(bands.select(F.col("doc_id").alias("b"), "band"), "band").where("a < b")
+    return _near(scratch, pairs.select("a", "b").distinct(), nodes, least)
 
 
-def near_pairs(marks: DataFrame, least: float = 0.8, band: int = 8) -> DataFrame:
-    """(a, b, likeness) of rows of (doc_id, fingerprint) that agree in a whole band of samples and are at least so alike.
+def near_groups(scratch: Scratch, marks: DataFrame, least: float = LEAST, band: int = BAND) -> DataFrame:
+    """(fingerprint, near_group) of every distinct fingerprint of rows with a doc_id.
 
-    Each distinct fingerprint is one node, named by its least doc_id; within a band the pairs are those with
-    the least node and, for nodes that are not near it, all others: links of a large group stay in proportion.
+    Fingerprints that agree in a band are candidates. First each band's least node is compared with the others, so that
+    most of a large group becomes one class; then all pairs of a band that are still of different classes are.
+    No link between different classes is lost, and a group of k is compared about k times, not k squared.
     """
-    nodes = marks.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    bands = nodes.select("doc_id", "fingerprint", F.posexplode(F.array(*[F.substring("fingerprint", 2 * band * i + 1, 2 * band) for i in range(SAMPLES // band)])).alias("no", "band"))
-    same = F.lit(0)
-    for i in range(SAMPLES):
-        same = same + (F.substring("fa", 2 * i + 1, 2) == F.substring("fb", 2 * i + 1, 2)).cast("int")
-    alike = F.greatest(F.lit(0.0), (same / SAMPLES - 1 / 256) / (1 - 1 / 256))
-    lead = bands.groupBy("no", "band").agg(F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa")), "doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("no", "band", "lead.*")
-    met = bands.join(lead, ["no", "band"]).where("doc_id <> a").withColumnRenamed("doc_id", "b").withColumnRenamed("fingerprint", "fb").withColumn("likeness", alike)
-    near = met.where(F.col("likeness") >= least).select("a", "b", "likeness")
-    rest = met.where(F.col("likeness") < least).select("no", "band", F.col("b").alias("a2"), F.col("fb").alias("fa"))
-    more = rest.join(bands, ["no", "band"]).where("doc_id <> a2").withColumnRenamed("doc_id", "b").withColumnRenamed("fingerprint", "fb").withColumn("likeness", alike).where(F.col("likeness") >= least)
-    more = more.select(F.least("a2", "b").alias("a"), F.greatest("a2", "b").alias("b"), "likeness")
-    return near.unionByName(more).distinct()
+    nodes = scratch.keep(marks.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    bands = scratch.keep(_bands(nodes, band))
+    lead = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("band", "a")
+    met = scratch.keep(bands.join(lead, "band").where("doc_id <> a").select("band", "a", F.col("doc_id").alias("b")))
+    first = scratch.keep(components(scratch, _near(scratch, met.select("a", "b").distinct(), nodes, least)))
+    # all rows of bands with more than one class, by class
+    in_play = met.select("band", F.col("b").alias("doc_id")).unionByName(met.select("band", F.col("a").alias("doc_id")).distinct())
+    in_play = scratch.keep(in_play.join(first.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select("band", "doc_id", F.coalesce("c", "doc_id").alias("cls")))
+    mixed = in_play.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("band")
+    left = scratch.keep(in_play.join(mixed, "band"))
+    side = lambda c: left.select("band", F.col("doc_id").alias(c), F.col("cls").alias(f"c{c}"))
+    pairs = scratch.keep(side("a").join(side("b"), "band").where("ca < cb").select("a", "b"))
+    more = _near(scratch, pairs.distinct(), nodes, least)
+    name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    over = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = scratch.keep(components(scratch, over)).select(F.col("node").alias("c1"), F.col("component").alias("c2"))
+    out = nodes.join(first.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c1", F.coalesce("c", "doc_id"))
+    return out.join(second, "c1", "left").select("fingerprint", F.coalesce("c2", "c1").alias("near_group"))
