@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haulage.llm import fingerprints, html, langid, lines, mixing, ngram_join, packing, quality, queries, shards, toxicity
 from haulage.llm.common import Scratch, components, running
@@ -33,6 +34,14 @@ ODD = [
 ]
 
 
+#: Names that operators use inside or return.
+CLASHES = tuple(
+    "_key size shard n h at score ids copies root component _th _d _t th lo gone ratio n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept row q wanted bytes first "
+    "_rank _before _part _p _n0 _v0 _g0 _s _kept _crc taken target source_size expected _held _gone a b _doc _l _j offending _node _leaves _tie _d0 dim left border bin _row rest whole g k _h _own _bucket "
+    "near_group fingerprint toxic quality weird.name".split()
+)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -46,12 +55,8 @@ def rows(docs):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Odd rows and a column whose name clashes with what operators use inside."""
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(ODD, SCHEMA)
-    for c in ("_key", "size", "shard", "n", "h", "at", "score", "ids", "copies", "root", "component"):
-        df = df.withColumn(c, F.lit("clash"))
-    return df
+    return df.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
 
 
 @pytest.fixture(scope="module")
@@ -191,7 +196,9 @@ def test_ngram_join_of_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(odd).collect()), key=key)
     assert got == sorted(classes([r[:2] for r in ODD]), key=key)
     assert ngram_join.ngram_join(none).collect() == []
-    assert sorted((r.doc_id for r in ngram_join.one_of_each(odd).collect()), key=lambda v: (v is None, v)) == [1, 2, 3, 3, 5, 6, 7, 8, None]
+    one = ngram_join.one_of_each(odd)
+    assert one.columns == odd.columns and all(r[c] == "clash" for r in one.collect() for c in CLASHES)
+    assert sorted((r.doc_id for r in one.collect()), key=lambda v: (v is None, v)) == [1, 2, 3, 3, 5, 6, 7, 8, None]
 
 
 def test_near_stage_keeps_one_row_of_each_class(spark):
@@ -236,6 +243,8 @@ def test_html_of_odd_pages(spark):
     assert got[1].text == " ".join(["The main text of the page goes here, with a link or two & more."] * 3) == got[6].text
     assert (got[2].text, got[2].n_chars, got[3].text) == ("", 0, "")
     assert got[4].text == "plain <text> 1 < 2" and got[5].text == "open" and got[None].text == "a b" and got[8].text == "deep"
+    more = spark.createDataFrame(data, "page_id long, url string, html string").select("*", *[F.lit("clash").alias(c) for c in ("host", "_host", "path", "depth", "text", "n_chars", "votes")])
+    assert {r.page_id: r for r in html.extract(more).collect()} == got
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
@@ -372,6 +381,9 @@ def test_line_dedup_of_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.text) for r in lines.line_dedup(odd).collect()), key=lambda x: (x[0] is None, x[0] or 0))
     assert [g[0] for g in got] == [1, 2, 3, 3, 5, 6, 7, 8, None]
     assert got == sorted(((r[0], r[1]) for r in ODD), key=lambda x: (x[0] is None, x[0] or 0))
+    out = lines.line_dedup(odd.unionByName(odd.where("doc_id = 7").withColumn("doc_id", F.lit(99).cast("long"))))
+    assert out.columns == odd.columns and all(r[c] == "clash" for r in out.collect() for c in CLASHES)
+    assert 99 not in {r.doc_id for r in out.collect()}
     assert lines.line_dedup(none).collect() == []
 
 
@@ -528,6 +540,69 @@ def test_near_pairs_find_small_edits(spark):
     assert got == want and sum(prints[i] == prints[10 + i] or (i, 10 + i) in want for i in range(6)) >= 4
 
 
+def test_near_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    vocabulary = [str(rng.random()) for _ in range(500)]
+    data = []
+    for g in range(12):
+        base = rng.choices(vocabulary, k=80)
+        for _ in range(rng.choice([1, 2, 5, 40])):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(40, 80)] = rng.choice(vocabulary)
+            data.append((len(data) * 7 % 1009, " ".join(own)))
+    data += [(2000, ""), (2001, ""), (2002, None)]
+    prints = {d: f.hex() for (d, _), f in zip(data, fingerprints.fingerprints([t for _, t in data]), strict=True)}
+    marks = spark.createDataFrame([*prints.items(), (None, prints[0])], "doc_id long, fingerprint string")
+    got = {r.fingerprint: r.near_group for r in fingerprints.near_groups(Scratch(spark, "t"), marks).collect()}
+    links = defaultdict(set)
+    bands = lambda f: {(i, f[i : i + 16]) for i in range(0, 2 * fingerprints.SAMPLES, 16)}
+    for a, fa in prints.items():
+        for b, fb in prints.items():
+            if fa == fb or (bands(fa) & bands(fb) and fingerprints.likeness(bytes.fromhex(fa), bytes.fromhex(fb)) >= fingerprints.LEAST):
+                links[a].add(b)
+    for d in prints:
+        seen, todo = {d}, [d]
+        while todo:
+            todo += links[todo.pop()] - seen
+            seen |= set(todo)
+        assert got[prints[d]] == min(seen)
+    assert len(set(got.values())) < len(set(prints.values()))
+
+
+def test_near_groups_hold_small_edits(docs, rows):
+    """Likeness against edit distance, and recall of banding and verification: one character in a long text."""
+    rng = random.Random(7)
+    own = [r.text for r in rows if len(r.text) > 400][:60]
+    changed = []
+    for t in own:
+        at = rng.randrange(len(t) // 2, len(t))
+        changed.append(t[:at] + "#" + t[at + 1 :])
+    a, b = fingerprints.fingerprints(own), fingerprints.fingerprints(changed)
+    alike = [fingerprints.likeness(x, y) for x, y in zip(a, b, strict=True)]
+    bands = [any(x[i : i + 8] == y[i : i + 8] for i in range(0, fingerprints.SAMPLES, 8)) for x, y in zip(a, b, strict=True)]
+    assert np.mean([s >= fingerprints.LEAST and k for s, k in zip(alike, bands, strict=True)]) >= 0.9
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_fingerprints_of_one_doc_id_in_most_rows(spark, hot):
+    data = [(i if i % 3 == 0 else hot, f"text number {i % 37} " * (i % 5)) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    dealt = fingerprints.with_next(df)
+    sizes = Counter(r._bucket for r in dealt.select("_bucket").collect())
+    assert max(sizes.values()) < 200 and len(sizes) > 4
+    out = fingerprints.fingerprint_documents(df).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in out) == Counter((d, len(t)) for d, t in data)
+    texts = defaultdict(list)
+    for d, t in data:
+        texts[d].append(t)
+    order = sorted(texts, key=lambda d: (d is None, -(d or 0)))
+    for d, later in zip(order, order[1:] + order[:1], strict=True):
+        if len(texts[d]) == 1:
+            made = {hashlib.sha256(fingerprints.edited(texts[d][0], o).encode()).hexdigest() for o in texts[later]}
+            assert {r.edited_sha256 for r in out if r.doc_id == d} <= made
+
+
 # -- 8 --------------------------------------------------------------------------------------------------------
 
 
@@ -574,7 +649,10 @@ def test_mix_shares_below_and_above_the_caps(spark, sizes):
 
 
 def test_mix_of_odd_rows(odd, none):
-    check_mix(ODD, mixing.mix(odd.drop("size", "copies")).collect())
+    check_mix(ODD, mixing.mix(odd).collect())
+    carried = mixing.mix(odd, keep=odd.columns)
+    assert carried.columns == ["doc_id", "source", *(c for c in odd.columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken")), "size", "source_size", "target", "copies", "taken"]
+    check_mix(ODD, carried.collect())
     assert mixing.mix(none).collect() == []
 
 
@@ -631,8 +709,9 @@ def _poly(b):
 def test_quality_of_odd_rows(odd, docs, spark, none):
     labels = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")
     model = quality.train(docs.select("doc_id", "text"), labels)
-    got = quality.quality(odd.select("doc_id", "text"), model).collect()
+    got = quality.quality(odd, model).collect()
     assert len(got) == len(ODD) and all(r.kept == (not r.base_failed) for r in got)
+    assert all(r.score == r._th == r["weird.name"] == "clash" for r in got) and sorted(r.n_words for r in got) == sorted(len(words(r[1])) for r in ODD)
     assert quality.quality(none.select("doc_id", "text"), model).collect() == []
 
 
