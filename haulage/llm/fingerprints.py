@@ -8,13 +8,12 @@ takes, of the steps up to the walk's end, the one that comes first in k's own ra
 nearly the same length are sampled at the same steps, and keeps 8 bits of what the walker saw there (four
 characters). Equal samples out of all, less what chance gives, are the likeness.
 
-Likely pairs come from bands of samples (equal in a whole band), and are verified by the likeness; what they
-link makes the near groups.
+Likely pairs come from bands of samples (equal in a whole band), and are verified by the likeness.
 
 Nulls: a null text is an empty one, and so is its fingerprint (all zeros); two empty texts are alike (1).
 Rows are ordered by doc_id descending, null last, equal doc_ids by their text's hash, then text; repeated rows
 follow each other. A table of one row is followed by itself. An empty table gives an empty result. Texts of any
-length are walked whole. Rows without a doc_id are in no group. Other columns are ignored, whatever their names.
+length are walked whole. Rows without a doc_id lead no band. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -198,9 +197,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", stretch: int = STRETCH) -> D
 
 
 def fingerprint_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_group of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_lead, lead_likeness of every row.
 
-    near_group is the least doc_id of the fingerprints reachable by likeness of ``least`` or more.
+    near_lead is what ``near_leads`` finds for the row's fingerprint, null where it finds none.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -241,9 +240,9 @@ def fingerprint_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
             yield out(held)
 
     out = scratch.keep(dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
-    group = scratch.keep(near_groups(scratch, out.select("doc_id", "fingerprint"), least)).select(F.col("fingerprint").alias("_f"), "near_group")
-    met = out.join(group, F.col("fingerprint") == F.col("_f"), "left")
-    return met.select(*out.columns, F.when(F.col("doc_id").isNotNull(), F.col("near_group")).alias("near_group"))
+    lead = scratch.keep(near_leads(scratch, out.select("doc_id", "fingerprint"), least)).withColumnRenamed("fingerprint", "_f")
+    met = out.join(lead, F.col("fingerprint") == F.col("_f"), "left")
+    return met.select(*out.columns, "near_lead", "lead_likeness")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -280,12 +279,27 @@ def near_pairs(marks: DataFrame, least: float = LEAST, band: int = BAND) -> Data
     return _near(scratch, pairs.select("a", "b").distinct(), nodes, least)
 
 
+def near_leads(scratch: Scratch, marks: DataFrame, least: float = LEAST, band: int = BAND) -> DataFrame:
+    """(fingerprint, near_lead, lead_likeness): of the least doc_ids of each band of a fingerprint the most alike, if it is so alike at all.
+
+    Every distinct fingerprint is compared with one other for each of its bands at most, so the work grows with their
+    number whatever a band holds. Links between two that lead no band are not looked for: see ``near_groups``.
+    """
+    nodes = scratch.keep(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("own")).withColumn("doc_id", F.xxhash64("fingerprint")))
+    bands = scratch.keep(_bands(nodes, band).join(nodes.select("doc_id", "own"), "doc_id"))
+    lead = bands.groupBy("band").agg(F.min(F.when(F.col("own").isNotNull(), F.struct("own", "doc_id")))["doc_id"].alias("a"))
+    pairs = scratch.keep(bands.join(lead, "band").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))).distinct()
+    near = _near(scratch, pairs, nodes, least).join(nodes.select(F.col("doc_id").alias("a"), "own"), "a")
+    best = near.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("own")).alias("own"))).alias("m"))
+    return nodes.join(best, F.col("doc_id") == F.col("b")).select("fingerprint", (-F.col("m.own")).alias("near_lead"), F.col("m.likeness").alias("lead_likeness"))
+
+
 def near_groups(scratch: Scratch, marks: DataFrame, least: float = LEAST, band: int = BAND) -> DataFrame:
     """(fingerprint, near_group) of every distinct fingerprint of rows with a doc_id.
 
     Fingerprints that agree in a band are candidates. First each band's least node is compared with the others, so that
     most of a large group becomes one class; then all pairs of a band that are still of different classes are.
-    No link between different classes is lost, and a group of k is compared about k times, not k squared.
+    No link between different classes is lost. A band of many classes that are not near is compared pair by pair.
     """
     nodes = scratch.keep(marks.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
     bands = scratch.keep(_bands(nodes, band))

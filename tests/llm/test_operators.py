@@ -570,6 +570,31 @@ def test_near_groups_are_those_of_all_pairs(spark):
     assert len(set(got.values())) < len(set(prints.values()))
 
 
+def test_near_leads_are_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [str(rng.random()) for _ in range(500)]
+    data = []
+    for g in range(10):
+        base = rng.choices(vocabulary, k=60)
+        for _ in range(rng.choice([1, 3, 30])):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(30, 60)] = rng.choice(vocabulary)
+            data.append((len(data) * 7 % 1009, " ".join(own)))
+    data += [(2000, ""), (2001, "")]
+    prints = {d: f for (d, _), f in zip(data, fingerprints.fingerprints([t for _, t in data]), strict=True)}
+    marks = [(d, f.hex()) for d, f in prints.items()] + [(None, prints[0].hex()), (None, fingerprints.fingerprints(["alone"])[0].hex())]
+    got = {r.fingerprint: (r.near_lead, r.lead_likeness) for r in fingerprints.near_leads(Scratch(spark, "t"), spark.createDataFrame(marks, "doc_id long, fingerprint string")).collect()}
+    bands = lambda f: {(i, f[i : i + fingerprints.BAND]) for i in range(0, fingerprints.SAMPLES, fingerprints.BAND)}
+    lead = {b: min(d for d, f in prints.items() if b in bands(f)) for f in prints.values() for b in bands(f)}
+    want = {}
+    for f in set(prints.values()):
+        found = [(fingerprints.likeness(f, prints[a]), -a) for a in {lead[b] for b in bands(f)} if prints[a] != f]
+        if found and max(found)[0] >= fingerprints.LEAST:
+            want[f.hex()] = (-max(found)[1], pytest.approx(max(found)[0]))
+    assert got == want and len(want) > 5
+
+
 def test_near_groups_hold_small_edits(docs, rows):
     """Likeness against edit distance, and recall of banding and verification: one character in a long text."""
     rng = random.Random(7)
