@@ -20,15 +20,32 @@ MOST_STEPS = 50_000_000
 LEAST_SAVING = 0.05
 
 
-def run_kinds(tasks: DataFrame) -> DataFrame:
-    """tasks with ``output`` and ``error``: echo, hash and upper; any other kind is a failed row, never an exception."""
-    p = F.col("payload").cast("binary")
-    known = {"echo": p, "hash": content_id(p).cast("binary"), "upper": ascii_upper(F.col("payload").cast("string")).cast("binary")}
-    out, ok = F.lit(None).cast("binary"), F.lit(False)
+def run_kinds(tasks: DataFrame, inputs: DataFrame | None = None, modules: dict[str, Callable[[bytes, list[bytes]], bytes]] | None = None) -> DataFrame:
+    """tasks with ``output`` and ``error``, by kind; a fault is a failed row, never an exception.
+
+    echo: the payload. hash: the digest of the payload and then of all inputs in order; fails where one is missing. cpu: the
+    LCG fold of as many steps as the payload says. upper: ASCII upper case. A module of the caller's by its name. Any other
+    kind is unknown. inputs: task_id, pos, data_id, data (NULL: not there).
+    """
+    p, none = F.col("payload").cast("binary"), F.array().cast("array<binary>")
+    rows = tasks.withColumn("_inputs", none).withColumn("_lost", F.lit(None).cast("string"))
+    if inputs is not None:
+        given = inputs.groupBy("task_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "data"))), lambda x: x["data"]).alias("_inputs"), F.min(F.when(F.col("data").isNull(), F.struct("pos", F.col("data_id").cast("string").alias("id"))))["id"].alias("_lost"))
+        rows = tasks.join(given, "task_id", "left").withColumn("_inputs", F.coalesce("_inputs", none))
+    ok = lambda out: F.struct(out.cast("binary").alias("output"), F.lit(None).cast("string").alias("error"))
+    bad = lambda why: F.struct(F.lit(None).cast("binary").alias("output"), why.alias("error"))
+    mine = lambda k, c: F.when(F.col("kind") == k, c)  # noqa: E731  # what Python sees of other kinds is NULL
+    whole = F.aggregate("_inputs", p, lambda a, x: F.concat(a, x))
+    known = {
+        "echo": ok(p),
+        "hash": F.when(F.col("_lost").isNotNull(), bad(F.concat(F.lit("missing input: "), "_lost"))).otherwise(ok(content_id(whole))),
+        "cpu": cpu_task(mine("cpu", p)),
+        "upper": ok(ascii_upper(F.col("payload").cast("string"))),
+    } | {k: module(f)(mine(k, p), mine(k, F.col("_inputs"))) for k, f in (modules or {}).items()}
+    out = bad(F.concat(F.lit("unknown task kind: "), "kind"))
     for k, v in known.items():
         out = F.when(F.col("kind") == k, v).otherwise(out)
-        ok = ok | (F.col("kind") == k)
-    return tasks.withColumn("output", out).withColumn("error", F.when(~ok, F.concat(F.lit("unknown task kind: "), F.col("kind"))))
+    return rows.withColumn("_done", out).withColumn("output", F.col("_done.output")).withColumn("error", F.col("_done.error")).drop("_done", "_inputs", "_lost")
 
 
 def _lcg(n: int) -> int:
@@ -57,6 +74,21 @@ def cpu(payload: pd.Series) -> pd.Series:
     return payload.map(one)
 
 
+@F.pandas_udf(T.StructType([T.StructField("output", T.BinaryType()), T.StructField("error", T.StringType())]))
+def cpu_task(payload: pd.Series) -> pd.DataFrame:
+    """The fold's 8 bytes, little-endian, or why it was refused."""
+
+    def one(b):
+        if b is None:
+            return None, None
+        if len(b) != 8:
+            return None, f"a count of steps has 8 bytes, not {len(b)}"
+        n = int.from_bytes(b, "little")
+        return (None, f"{n} steps are over the limit of {MOST_STEPS}") if n > MOST_STEPS else (_lcg(n).to_bytes(8, "little"), None)
+
+    return pd.DataFrame([one(b) for b in payload], columns=["output", "error"], dtype=object)
+
+
 @F.pandas_udf(T.StructType([T.StructField("codec", T.StringType()), T.StructField("size", T.LongType())]))
 def compressed(data: pd.Series) -> pd.DataFrame:
     """Codec and size after compression, kept only where it saves enough."""

@@ -24,6 +24,12 @@ def known(datasets: DataFrame, locations: DataFrame) -> DataFrame:
     return datasets.join(locations.select("data_id").distinct(), "data_id", "left_semi")
 
 
+def locations_of(datasets: DataFrame, locations: DataFrame) -> DataFrame:
+    """(data_id, nodes, first_node): how many nodes hold each dataset, and the least of them; 0 and NULL where none does."""
+    held = locations.groupBy("data_id").agg(F.count("node_id").alias("nodes"), F.min("node_id").alias("first_node"))
+    return datasets.select("data_id").join(held, "data_id", "left").select("data_id", F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"), "first_node")
+
+
 def local_bytes(task_inputs: DataFrame, locations: DataFrame, datasets: DataFrame) -> DataFrame:
     """(task_id, node_id, local_bytes): a repeated input counts each time, an unknown one not at all."""
     sized = known(datasets, locations)

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that ``spark.checkpoint.dir`` names (a local one where unset) and read back: later rounds neither repeat earlier ones nor lose them with an executor."""
+    """df written to the folder that ``spark.checkpoint.dir`` names and read back: later rounds neither repeat earlier ones nor lose them with an executor.
+
+    A session on one machine may leave the folder unset. What is written is deleted with the session.
+    """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints/rounds"
-    path = f"{root}/cut-{uuid.uuid4().hex}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{root or '/tmp/checkpoints/rounds'}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -30,6 +30,8 @@ def waves(steps: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
         out = ready if out is None else out.unionByName(ready)
         rest = cut(rest.join(ready.select("run", "step"), ["run", "step"], "left_anti"))
         e = cut(e.join(ready.select("run", F.col("step").alias("src")), ["run", "src"], "left_anti"))
+    else:
+        raise RuntimeError(f"more than {most} waves")
     return out if out is not None else rest.withColumn("wave", F.lit(0)).limit(0)
 
 
@@ -71,6 +73,8 @@ def skipped(edges: DataFrame, failed: DataFrame, most: int = 10_000) -> DataFram
         if front.isEmpty():
             break
         out = front if out is None else out.unionByName(front)
+    else:
+        raise RuntimeError(f"failures reach further than {most} steps")
     return front if out is None else out
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DEFAULT_BANDWIDTH, DEFAULT_LATENCY_MS
 from . import catalog
+from .cut import cut
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def available(nodes: DataFrame, failed: DataFrame, connected: DataFrame) -> Data
 
 def least_loaded(tasks: DataFrame, nodes: DataFrame, rule: Column) -> DataFrame:
     """(task_id, node_id), NULL where no node is eligible. The best node is found once for each constraint."""
-    best = eligible(tasks, nodes, rule).groupBy("constraint_text").agg(F.min(F.struct("cpu_usage", "memory_usage", "node_id"))["node_id"].alias("node_id"))
+    best = cut(eligible(tasks, nodes, rule).groupBy("constraint_text").agg(F.min(F.struct("cpu_usage", "memory_usage", "node_id"))["node_id"].alias("node_id")))
     return tasks.join(best, tasks["constraint_text"].eqNullSafe(best["constraint_text"]), "left").select("task_id", "node_id")
 
 
@@ -65,7 +66,7 @@ def by_locality(tasks: DataFrame, nodes: DataFrame, task_inputs: DataFrame, loca
     can = eligible(tasks, nodes, rule).select("constraint_text", *_load())
     near = tasks.select("task_id", "constraint_text").join(catalog.local_bytes(task_inputs, locations, datasets), "task_id")
     near = near.join(can.withColumnRenamed("constraint_text", "_c"), "node_id").where(F.col("constraint_text").eqNullSafe(F.col("_c"))).select("task_id", "local_bytes", *_load())
-    free = can.groupBy("constraint_text").agg(F.min(F.struct(*_load())).alias("n")).select(F.col("constraint_text").alias("_c"), "n.*")
+    free = cut(can.groupBy("constraint_text").agg(F.min(F.struct(*_load())).alias("n")).select(F.col("constraint_text").alias("_c"), "n.*"))
     rest = tasks.select("task_id", "constraint_text").join(free, F.col("constraint_text").eqNullSafe(F.col("_c"))).select("task_id", F.lit(0).cast("long").alias("local_bytes"), *_load())
     best = near.unionByName(rest).groupBy("task_id").agg(F.min(F.struct((-F.col("local_bytes")).alias("l"), *_load())).alias("b"))
     return best.select("task_id", F.col("b.node_id").alias("node_id"), (-F.col("b.l")).alias("local_bytes"))
@@ -89,7 +90,7 @@ def frontier(can: DataFrame, w: Weights, k: int = 1) -> DataFrame:
     c = can.select("*", slope.alias("_s"), rest.alias("_a"))
     # sort by slope: what is beaten is beaten by k nodes before it whose constant cost is lower by more than rounding can hide
     order = Window.partitionBy("constraint_text").orderBy("_s", "_a", "node_id").rowsBetween(Window.unboundedPreceding, -1)
-    least = F.sort_array(F.collect_list("_a").over(order)) if k > 1 else F.array(F.min("_a").over(order))
+    least = F.array_sort(F.collect_list("_a").over(order)) if k > 1 else F.array(F.min("_a").over(order))
     return c.withColumn("_k", F.try_element_at(least, F.lit(k))).where(F.col("_k").isNull() | (F.col("_a") <= F.col("_k") + 1e-5)).drop("_s", "_a", "_k")
 
 
@@ -101,7 +102,8 @@ def scores(tasks: DataFrame, nodes: DataFrame, task_inputs: DataFrame, locations
     t = tasks.select("task_id", "constraint_text", "payload_bytes").join(totals, "task_id", "left").withColumn("total_bytes", F.coalesce("total_bytes", F.lit(0)))
     near = t.join(catalog.local_bytes(task_inputs, locations, datasets), "task_id")
     near = near.join(can.withColumnRenamed("constraint_text", "_c"), "node_id").where(F.col("constraint_text").eqNullSafe(F.col("_c"))).drop("_c")
-    far = t.join(frontier(can, w, k).withColumnRenamed("constraint_text", "_c"), F.col("constraint_text").eqNullSafe(F.col("_c"))).drop("_c")
+    # written, so that the planner knows its size before it deals out the tasks: a few nodes a class are broadcast, many are not
+    far = t.join(cut(frontier(can, w, k)).withColumnRenamed("constraint_text", "_c"), F.col("constraint_text").eqNullSafe(F.col("_c"))).drop("_c")
     far = far.withColumn("local_bytes", F.lit(0).cast("long"))
     both = near.select(far.columns).unionByName(far).groupBy("task_id", "node_id").agg(F.max("local_bytes").alias("local_bytes"), *[F.first(c).alias(c) for c in ("cpu_usage", "memory_usage", "bandwidth", "latency_ms", "total_bytes", "payload_bytes")])
     out = both.select("task_id", *_load(), *[v.alias(n) for n, v in _terms(w).items()])
@@ -121,6 +123,28 @@ def with_retries(scored: DataFrame, down: Column, attempts: int = 3) -> DataFram
     return ranked.groupBy("task_id").agg(F.min_by(F.when(~down, F.col("node_id")), F.when(~down, F.col("rank"))).alias("node_id"), F.coalesce(F.min(F.when(~down, F.col("rank"))), F.max("rank")).cast("long").alias("attempts"))
 
 
+def place_with_retries(tasks: DataFrame, nodes: DataFrame, task_inputs: DataFrame, locations: DataFrame, datasets: DataFrame, rule: Column, down: Column, attempts: int = 3, w: Weights = Weights()) -> DataFrame:
+    """(task_id, node_id, attempts): each task goes to its cheapest node; where that is down, what the catalog says it holds
+    is forgotten, for every task, and the task is scored again on the nodes it has not tried. NULL when all attempts fail
+    or no node is left. One round an attempt, over the tasks that are still without a node.
+    """
+    left, loc, tried, out = tasks, locations, None, None
+    for n in range(1, attempts + 1):
+        scored = scores(left, nodes, task_inputs, loc, datasets, rule, w, k=n)
+        if tried is not None:
+            scored = scored.join(tried, ["task_id", "node_id"], "left_anti")
+        best = cut(left.select("task_id").join(cheapest(scored).select("task_id", "node_id"), "task_id", "left"))
+        fail = best.where(F.col("node_id").isNotNull() & down)
+        last = F.lit(n == attempts)
+        done = best.where(F.col("node_id").isNull() | ~down | last)
+        done = done.select("task_id", F.when(~down, F.col("node_id")).alias("node_id"), F.when(F.col("node_id").isNull(), F.lit(n - 1)).otherwise(F.lit(n)).cast("long").alias("attempts"))
+        out = done if out is None else out.unionByName(done)
+        tried = fail if tried is None else tried.unionByName(fail)
+        loc = catalog.forget(loc, fail)
+        left = left.join(fail.select("task_id"), "task_id", "left_semi")
+    return out
+
+
 def spread(tasks: DataFrame, nodes: DataFrame, group: str | None = None, rule: Column | None = None) -> DataFrame:
     """(task_id, node_id, load): tasks are placed one after the other by task_id, each on the least loaded node that meets
     its constraint, and each raising its node's load; both NULL where no node does. Without a rule every node is eligible.

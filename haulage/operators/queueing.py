@@ -36,17 +36,20 @@ def expired(queue: DataFrame, own_timeout: Column, default_timeout: int) -> Data
 
 
 def admit_reject(burst: DataFrame, most: int) -> DataFrame:
-    """Of a burst without pops the first ``most`` are admitted."""
-    return burst.withColumn("admitted", F.col("seq") < most)
+    """Of a burst without pops the first ``most`` are admitted; 0 is no bound."""
+    return burst.withColumn("admitted", F.col("seq") < most if most else F.lit(True))
 
 
 def admit_drop_oldest(burst: DataFrame, most: int) -> DataFrame:
+    """Of a burst without pops the last ``most`` stay; 0 is no bound."""
+    if not most:
+        return burst.withColumn("admitted", F.lit(True))
     last = burst.agg(F.max("seq").alias("_last"))
     return burst.crossJoin(F.broadcast(last)).withColumn("admitted", F.col("seq") > F.col("_last") - most).drop("_last")  # one row
 
 
 def admit_drop_lowest(burst: DataFrame, group: str, most: int, aging: int = 0) -> DataFrame:
-    """An ordered fold: a newcomer displaces the lowest (oldest of equals) only if its declared priority is higher than that one's aged priority."""
+    """An ordered fold: a newcomer displaces the lowest (oldest of equals) only if its declared priority is higher than that one's aged priority. 0 is no bound."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq").reset_index(drop=True)
@@ -55,7 +58,7 @@ def admit_drop_lowest(burst: DataFrame, group: str, most: int, aging: int = 0) -
         held: list[int] = []
         level = lambda i, t: min(4, pdf["priority"][i] + ((t - now[i]) // aging if aging else 0))
         for i in range(len(pdf)):
-            if len(held) < most:
+            if not most or len(held) < most:
                 held.append(i)
                 fate[i] = "held"
                 continue
@@ -70,7 +73,7 @@ def admit_drop_lowest(burst: DataFrame, group: str, most: int, aging: int = 0) -
 
 
 def simulate(arrivals: DataFrame, group: str, most: int, aging: int, every: int) -> DataFrame:
-    """Arrivals (at) and pops (one each ``every``) interleaved, per group: when each task ran, or that it was refused."""
+    """Arrivals (at) and pops (one each ``every``) interleaved, per group: when each task ran, or that it was refused. ``most`` 0 is no bound."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "seq"]).reset_index(drop=True)
@@ -88,7 +91,7 @@ def simulate(arrivals: DataFrame, group: str, most: int, aging: int, every: int)
                 pop(clock)
                 clock += every
             clock = max(clock, int(pdf["at"][i])) if not held else clock
-            if len(held) < most:
+            if not most or len(held) < most:
                 held.append(i)
         while held:
             pop(clock)

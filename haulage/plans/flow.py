@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.cut import cut
+
 
 @dataclass(frozen=True)
 class Step:
@@ -88,29 +91,35 @@ def fingerprints(steps: Sequence[Step]) -> dict[int, str]:
     return out
 
 
-def run(spark: SparkSession, steps: Sequence[Step], path: str | None = None, name: str = "run") -> Outcome:
-    """Run the steps in order. With a path, outputs are kept as Parquet by run, step and fingerprint, and not made again.
+def run(spark: SparkSession, steps: Sequence[Step], path: str | None = None, name: str = "run", most: int = 8) -> Outcome:
+    """Run the steps, wave by wave, those of a wave side by side (``most`` at once). With a path, outputs are kept as Parquet
+    by run, step and fingerprint, and not made again; without one they are written to the session's shared folder.
 
-    A step runs only if all its parents succeeded; all descendants of a failed step are skipped.
+    A step is a success when its output is written, so that a fault in its tasks is its own. It runs only if all its
+    parents succeeded; all descendants of a failed step are skipped.
     """
     out, marks = Outcome(), fingerprints(steps)
-    for i in order(steps):
+
+    def one(i: int) -> None:
         s = steps[i]
+        at = f"{path}/run={name}/step={i}/fp={marks[i]}" if path else None
         if any(out.status[d] in ("failed", "skipped") for d in s.after):
             out.status[i] = "skipped"
-            continue
-        at = f"{path}/run={name}/step={i}/fp={marks[i]}" if path else None
-        if at and _there(spark, at):
+        elif at and _there(spark, at):
             out.outputs[i], out.status[i] = spark.read.parquet(at), "resumed"
-            continue
-        try:
-            df = s.run(*[out.outputs[d] for d in s.after])
-            if at:
-                df.write.mode("overwrite").parquet(at)
-                df = spark.read.parquet(at)
-            out.outputs[i], out.status[i] = df, "success"
-        except Exception as e:
-            out.errors[i], out.status[i] = f"{type(e).__name__}: {e}", "failed"
+        else:
+            try:
+                df = s.run(*[out.outputs[d] for d in s.after])
+                if at:
+                    df.write.mode("overwrite").parquet(at)
+                out.outputs[i] = spark.read.parquet(at) if at else cut(df)
+                out.status[i] = "success"
+            except Exception as e:
+                out.errors[i], out.status[i] = f"{type(e).__name__}: {e}", "failed"
+
+    with ThreadPoolExecutor(most) as pool:
+        for wave in waves(steps):
+            list(pool.map(one, wave))
     return out
 
 

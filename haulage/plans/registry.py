@@ -278,7 +278,10 @@ def _(t):
     return n.select("node_id", F.col("l")["region"].alias("region"), F.col("l")["zone"].alias("zone"))
 
 
-_same("c6_eligible_count", "SELECT t.task_id, CAST(count(n.node_id) AS BIGINT) AS nodes FROM {m_tasks} t LEFT JOIN (SELECT DISTINCT c.constraint_text, n.node_id FROM (SELECT DISTINCT constraint_text FROM {m_tasks}) c JOIN {m_nodes} n ON c.constraint_text IS NULL OR (c.constraint_text = 'gpu=true' AND n.gpu = 'true') OR (c.constraint_text = 'gpu' AND n.gpu IS NOT NULL) OR (c.constraint_text = 'gpu!=true' AND (n.gpu IS NULL OR n.gpu <> 'true'))) n ON t.constraint_text IS NOT DISTINCT FROM n.constraint_text GROUP BY t.task_id")
+@_add("c6_eligible_count", "SELECT t.task_id, CAST(count(n.node_id) AS BIGINT) AS nodes FROM {m_tasks} t LEFT JOIN (SELECT DISTINCT c.constraint_text, n.node_id FROM (SELECT DISTINCT constraint_text FROM {m_tasks}) c JOIN {m_nodes} n ON c.constraint_text IS NULL OR (c.constraint_text = 'gpu=true' AND n.gpu = 'true') OR (c.constraint_text = 'gpu' AND n.gpu IS NOT NULL) OR (c.constraint_text = 'gpu!=true' AND (n.gpu IS NULL OR n.gpu <> 'true'))) n ON t.constraint_text IS NOT DISTINCT FROM n.constraint_text GROUP BY t.task_id")
+def _(t):
+    n = placement.eligible(t("m_tasks"), t("m_nodes"), _rule()).groupBy(F.col("constraint_text").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return t("m_tasks").join(n, F.col("constraint_text").eqNullSafe(F.col("c")), "left").select("task_id", F.coalesce("n", F.lit(0)).cast("long").alias("nodes"))
 
 
 @_add("c7_available", "SELECT node_id FROM {m_nodes} WHERE node_id % 3 <> 0 AND node_id % 7 <> 1")
@@ -292,9 +295,9 @@ def _(t):
     return t("m_nodes").select("node_id", C.clamp(F.when(F.col("node_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("cpu_usage") * 3 - 1)).alias("cpu"), F.floor(F.col("memory_usage") * 16e9).cast("long").alias("used"))
 
 
-@_add("c9_inflated_load", "SELECT n.node_id, least(1.0::DOUBLE, n.cpu_usage + CAST(coalesce(p.pending, 0) AS DOUBLE) / greatest(n.cpu_cores, 1)) AS cpu_usage FROM {m_nodes} n LEFT JOIN (SELECT client % 50 + 1 AS node_id, count(*) AS pending FROM {m_tasks} WHERE task_id % 50 = 0 GROUP BY 1) p USING (node_id)")
+@_add("c9_inflated_load", "SELECT n.node_id, least(1.0::DOUBLE, n.cpu_usage + CAST(coalesce(p.pending, 0) AS DOUBLE) / greatest(n.cpu_cores, 1)) AS cpu_usage FROM {m_nodes} n LEFT JOIN (SELECT client % 50 + 1 AS node_id, count(*) AS pending FROM {m_tasks} GROUP BY 1) p USING (node_id)")
 def _(t):
-    p = t("m_tasks").where("task_id % 50 = 0").groupBy((F.col("client") % 50 + 1).alias("node_id")).agg(F.count(F.lit(1)).alias("pending"))
+    p = t("m_tasks").groupBy((F.col("client") % 50 + 1).alias("node_id")).agg(F.count(F.lit(1)).alias("pending"))
     return placement.inflate(t("m_nodes"), p).select("node_id", "cpu_usage")
 
 
@@ -303,7 +306,9 @@ def _(t):
     return t("m_tasks").select("task_id", C.preview(F.translate("payload", "-", "\t").cast("binary"), 12).alias("preview"))
 
 
-_same("c11_short_id", "SELECT node_id, CASE WHEN position('#' IN hostname) > 0 THEN substr(hostname, 1, position('#' IN hostname) - 1) ELSE hostname END AS short FROM {m_nodes}")
+@_add("c11_short_id", "SELECT node_id, split_part(replace(hostname, '#', '-'), '-', 1) AS short FROM {m_nodes}")
+def _(t):
+    return t("m_nodes").select("node_id", C.short_id(F.translate("hostname", "#", "-")).alias("short"))
 
 
 @_add("c12_human_bytes", "SELECT data_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', b / 1073741824.0::DOUBLE) END AS text FROM (SELECT data_id, CASE data_id % 4 WHEN 0 THEN size_bytes // 1048576 WHEN 1 THEN size_bytes // 128 WHEN 2 THEN size_bytes ELSE size_bytes * 100 END AS b FROM {m_datasets})")
@@ -385,7 +390,9 @@ def _(t):
     return left.agg(F.count(F.lit(1)).alias("left_over"), F.countDistinct("data_id").alias("datasets"))
 
 
-_same("d4_locations_of", "SELECT d.data_id, CAST(count(l.node_id) AS BIGINT) AS nodes, min(l.node_id) AS first_node FROM {m_datasets} d LEFT JOIN {m_locations} l ON l.data_id = d.data_id GROUP BY d.data_id")
+@_add("d4_locations_of", "SELECT d.data_id, CAST(count(l.node_id) AS BIGINT) AS nodes, min(l.node_id) AS first_node FROM {m_datasets} d LEFT JOIN {m_locations} l ON l.data_id = d.data_id GROUP BY d.data_id")
+def _(t):
+    return catalog.locations_of(t("m_datasets"), t("m_locations"))
 
 
 @_add("d5_local_bytes", f"SELECT task_id, node_id, CAST(sum(size_bytes) AS BIGINT) AS local_bytes FROM {{m_task_inputs}} JOIN ({_HELD}) USING (data_id) JOIN {{m_locations}} USING (data_id) GROUP BY 1, 2")
@@ -420,8 +427,9 @@ def _(t):
     return catalog.record(loc, loc.where("node_id % 5 = 0").select("data_id", (F.col("node_id") + 1).alias("node_id")))
 
 
-_same("d11_evicted", "SELECT l.data_id, l.node_id FROM {m_locations} l LEFT ANTI JOIN (SELECT data_id, node_id FROM {m_locations} WHERE data_id % 6 = 0 AND node_id % 2 = 0) e ON e.data_id = l.data_id AND e.node_id = l.node_id")
-_SQL["d11_evicted"] = portable("SELECT data_id, node_id FROM {m_locations} WHERE NOT (data_id % 6 = 0 AND node_id % 2 = 0)")
+@_add("d11_evicted", "SELECT data_id, node_id FROM {m_locations} WHERE NOT (data_id % 6 = 0 AND node_id % 2 = 0)")
+def _(t):
+    return catalog.remove(t("m_locations"), t("m_locations").where("data_id % 6 = 0 and node_id % 2 = 0"))
 
 
 @_add("d12_mesh_check", "SELECT 'missing host ' || min(replace(hostname, '#', '?')) AS error FROM {m_nodes} WHERE node_id % 5 = 0")
@@ -477,9 +485,25 @@ def _(t):
     return placement.least_loaded(t("m_tasks"), some, _rule()).where("node_id is null").select("task_id")
 
 
-@_add("e6_retry_rank", f"SELECT task_id, (array_agg(node_id ORDER BY rank) FILTER (WHERE node_id % 3 <> 0))[1] AS node_id, CAST(coalesce(min(rank) FILTER (WHERE node_id % 3 <> 0), max(rank)) AS BIGINT) AS attempts FROM ({_RANKED}) WHERE rank <= 3 GROUP BY task_id")
+def _attempt(tasks: str, locations: str, tried: str = "") -> str:
+    scored = _SCORED.replace("{m_tasks}", tasks).replace("{m_locations}", locations)
+    return f"SELECT task_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY total, cpu_usage, memory_usage, node_id) AS r FROM ({scored}) s {tried}) WHERE r = 1"
+
+
+_RETRIES = f"""
+WITH b1 AS ({_attempt("{m_tasks}", "{m_locations}")}), f1 AS (SELECT * FROM b1 WHERE node_id % 3 = 0),
+t2 AS (SELECT * FROM {{m_tasks}} WHERE task_id IN (SELECT task_id FROM f1)), l2 AS (SELECT * FROM {{m_locations}} WHERE node_id NOT IN (SELECT node_id FROM f1)),
+b2 AS ({_attempt("t2", "l2", "ANTI JOIN f1 USING (task_id, node_id)")}), f2 AS (SELECT * FROM b2 WHERE node_id % 3 = 0),
+t3 AS (SELECT * FROM t2 WHERE task_id IN (SELECT task_id FROM f2)), l3 AS (SELECT * FROM l2 WHERE node_id NOT IN (SELECT node_id FROM f2)),
+b3 AS ({_attempt("t3", "l3", "ANTI JOIN (SELECT * FROM f1 UNION ALL SELECT * FROM f2) USING (task_id, node_id)")})
+SELECT t.task_id, CASE WHEN b1.node_id % 3 <> 0 THEN b1.node_id WHEN b2.node_id % 3 <> 0 THEN b2.node_id WHEN b3.node_id % 3 <> 0 THEN b3.node_id END AS node_id,
+  CAST((b1.node_id IS NOT NULL)::INT + (b2.node_id IS NOT NULL)::INT + (b3.node_id IS NOT NULL)::INT AS BIGINT) AS attempts
+FROM {{m_tasks}} t LEFT JOIN b1 USING (task_id) LEFT JOIN b2 USING (task_id) LEFT JOIN b3 USING (task_id)"""
+
+
+@_add("e6_retry_rank", _RETRIES)
 def _(t):
-    return placement.with_retries(_scored(t, 3), F.col("node_id") % 3 == 0)
+    return placement.place_with_retries(_sized_tasks(t), t("m_nodes"), t("m_task_inputs"), t("m_locations"), t("m_datasets"), _rule(), F.col("node_id") % 3 == 0)
 
 
 @_add("e7_spread")
@@ -926,15 +950,29 @@ _stream("m5c_sessions", lambda s, spark, d: monitor.sessions(s, "1 hour").select
 # -- N: task kinds --------------------------------------------------------------------------------------------
 
 
-@_add("n1_run_kinds", "SELECT task_id, CASE kind WHEN 'echo' THEN payload WHEN 'hash' THEN sha256(payload) END AS output, CASE WHEN kind NOT IN ('echo', 'hash') THEN 'unknown task kind: ' || kind END AS error FROM {m_tasks}")
+_STEPS = " + ".join(f"CAST(ord(payload[{i + 1}]) AS HUGEINT) * {256**i}" for i in range(8))
+_KINDS = f"""
+WITH i AS (SELECT ti.task_id, ti.data_id, h.data_id IS NOT NULL AS there FROM {{m_task_inputs}} ti LEFT JOIN (SELECT DISTINCT data_id FROM {{m_locations}}) h ON h.data_id = ti.data_id),
+p AS (SELECT task_id, string_agg(sha256(CAST(data_id AS VARCHAR)), '' ORDER BY data_id) AS data, min(data_id) FILTER (WHERE NOT there) AS lost FROM i GROUP BY 1)
+SELECT t.task_id, CASE WHEN kind = 'echo' THEN payload WHEN kind = 'hash' AND lost IS NULL THEN sha256(payload || coalesce(data, '')) END AS output,
+  CASE WHEN kind = 'hash' THEN 'missing input: ' || lost
+    WHEN kind = 'cpu' AND octet_length(encode(payload)) <> 8 THEN 'a count of steps has 8 bytes, not ' || octet_length(encode(payload))
+    WHEN kind = 'cpu' THEN ({_STEPS}) || ' steps are over the limit of 50000000'
+    WHEN kind NOT IN ('echo', 'hash') THEN 'unknown task kind: ' || kind END AS error
+FROM {{m_tasks}} t LEFT JOIN p ON p.task_id = t.task_id"""
+
+
+@_add("n1_run_kinds", _KINDS)
 def _(t):
-    return kinds.run_kinds(t("m_tasks")).select("task_id", F.col("output").cast("string").alias("output"), "error")
+    held = t("m_locations").select("data_id").distinct().withColumn("data", F.sha2(F.col("data_id").cast("string").cast("binary"), 256).cast("binary"))
+    read = t("m_task_inputs").join(held, "data_id", "left").select("task_id", F.col("data_id").alias("pos"), "data_id", "data")
+    return kinds.run_kinds(t("m_tasks"), read).select("task_id", F.col("output").cast("string").alias("output"), "error")
 
 
-@_add("n3_user_module", "SELECT task_id, upper(payload) AS output FROM {m_tasks} WHERE task_id % 10 = 0")
+@_add("n3_user_module", "SELECT task_id, upper(payload) AS output FROM {m_tasks}")
 def _(t):
     up = kinds.module(lambda payload, inputs: payload.upper())
-    return t("m_tasks").where("task_id % 10 = 0").select("task_id", up(F.col("payload").cast("binary"), F.array().cast("array<binary>")).alias("r")).select("task_id", F.col("r.output").cast("string").alias("output"))
+    return t("m_tasks").select("task_id", up(F.col("payload").cast("binary"), F.array().cast("array<binary>")).alias("r")).select("task_id", F.col("r.output").cast("string").alias("output"))
 
 
 @_add("n8_ascii_upper", "SELECT blob_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text FROM {m_blobs}")

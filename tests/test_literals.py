@@ -40,6 +40,62 @@ def test_unknown_kinds_fail_as_rows(spark):
     assert got["rm -rf"] == (None, "unknown task kind: rm -rf") and bytes(got["echo"][0]) == b"x" and bytes(got["upper"][0]) == "Aé".encode()
 
 
+def test_kinds_run_as_the_executor_does(spark):
+    eight = lambda n: n.to_bytes(8, "little")
+    t = [(1, "cpu", eight(2)), (2, "cpu", b"abc"), (3, "cpu", eight(50_000_001)), (4, "hash", b"seed"), (5, "hash", b"seed"), (6, "echo", b""), (7, "twice", b"ab"), (8, "twice", b"x"), (9, "cpu", eight(0))]
+    i = [(4, 1, 8, b"second"), (4, 0, 9, b"first"), (5, 0, 7, b"a"), (5, 1, 3, None), (5, 2, 2, None), (7, 0, 9, b"!")]
+    tasks = spark.createDataFrame(t, "task_id long, kind string, payload binary")
+    inputs = spark.createDataFrame(i, "task_id long, pos int, data_id long, data binary")
+
+    def twice(payload, xs):
+        return payload * 2 + xs[0]
+
+    got = {r.task_id: (None if r.output is None else bytes(r.output), r.error) for r in kinds.run_kinds(tasks, inputs, {"twice": twice}).collect()}
+    assert got[1] == (eight(1), None) and got[9] == (eight(0), None) and got[6] == (b"", None) and got[7] == (b"abab!", None)
+    assert got[4] == (kinds.digest(b"seedfirstsecond").encode(), None) and got[5] == (None, "missing input: 3")
+    assert got[2][0] is None and "3" in got[2][1] and got[3][0] is None and "50000001" in got[3][1] and got[8][1].startswith("IndexError")
+
+
+def test_zero_is_no_bound(spark):
+    q = spark.createDataFrame([(0, 10 + i, i % 5, i, i) for i in range(6)], "g long, task_id long, priority int, at long, seq long")
+    assert queueing.admit_reject(q, 0).where("admitted").count() == queueing.admit_drop_oldest(q, 0).where("admitted").count() == 6
+    assert queueing.admit_drop_lowest(q, "g", 0).where("fate = 'held'").count() == 6
+    assert queueing.simulate(q, "g", 0, 10, 5).where("ran_at is not null").count() == 6
+
+
+def test_a_waiting_task_is_harder_to_displace(spark):
+    q = spark.createDataFrame([(0, 1, 1, 0, 0), (0, 2, 1, 20, 1), (0, 3, 2, 20, 2)], "g long, task_id long, priority int, at long, seq long")
+    assert {r.task_id: r.fate for r in queueing.admit_drop_lowest(q, "g", 2, 10).collect()} == {1: "held", 2: "displaced", 3: "held"}
+
+
+def test_a_retry_forgets_what_the_failed_node_held(spark):
+    ns = nodes(spark, (1, 0.0, 0.0, 10**6, 1.0, None), (2, 0.2, 0.0, 10**6, 1.0, None), (3, 0.1, 0.0, 10**6, 1.0, None))
+    tasks = spark.createDataFrame([(1, None, 0), (2, None, 0), (3, "gpu", 0)], "task_id long, constraint_text string, payload_bytes long")
+    inputs = spark.createDataFrame([(1, 7), (1, 8)], "task_id long, data_id long")
+    D, L = held(spark, [(7, 10**7), (8, 10**5)], [(7, 1), (8, 2)])
+    args = (tasks, ns, inputs, L, D, placement.label_rule())
+    got = {r.task_id: (r.node_id, r.attempts) for r in placement.place_with_retries(*args, F.col("node_id") == 1).collect()}
+    # with node 1 gone dataset 7 is nowhere, so that node 2 holds all there is of task 1's inputs
+    assert got == {1: (2, 2), 2: (3, 2), 3: (None, 0)}
+    assert {r.task_id: (r.node_id, r.attempts) for r in placement.place_with_retries(*args, F.lit(True), 2).collect()} == {1: (None, 2), 2: (None, 2), 3: (None, 0)}
+
+
+def test_a_step_that_fails_in_its_tasks_is_failed(spark):
+    boom = lambda: spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    steps = [flow.Step("a", boom), flow.Step("b", lambda a: a, (0,)), flow.Step("c", lambda: spark.range(2)), flow.Step("d", lambda c: c.where("id > 0"), (2,))]
+    got = flow.run(spark, steps)
+    assert got.status == {0: "failed", 1: "skipped", 2: "success", 3: "success"} and got.outputs[3].count() == 1
+
+
+def test_graphs_deeper_than_the_bound_are_an_error(spark):
+    s = spark.createDataFrame([(0, i) for i in range(4)], "run long, step long")
+    e = spark.createDataFrame([(0, i, i + 1) for i in range(3)], "run long, src long, dst long")
+    assert graph.waves(s, e, 5).count() == 4
+    for f in (lambda: graph.waves(s, e, 3), lambda: graph.skipped(e, s.where("step = 0"), 2)):
+        with pytest.raises(RuntimeError):
+            f()
+
+
 def test_cpu_folds_and_refuses(spark):
     def slow(n):
         acc = 0
