@@ -161,8 +161,8 @@ def fit(words: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray
     label = np.repeat(labels, [len(x) for x in own])
     with1, with0 = np.bincount(code, label == 1, len(known)), np.bincount(code, label == 0, len(known))
     gain = gains(with1, with0, (labels == 1).sum(), (labels == 0).sum())
-    use = np.argsort(-gain, kind="stable")[:n_features]
-    chosen = np.sort(known[use[(gain[use] > 0) & (with1[use] >= LEAST_DOCS)]])
+    use = np.flatnonzero((gain > 0) & (with1 >= LEAST_DOCS))
+    chosen = np.sort(known[use[np.argsort(-gain[use], kind="stable")[:n_features]]])
     return descend([bags(w, s, chosen) for w, s in zip(words, sentences, strict=True)], labels, chosen, weight)
 
 
