@@ -137,7 +137,7 @@ def _with_edits(pairs: list[tuple[str, str]]) -> list[tuple]:
     out = []
     for i, c in enumerate(changed):
         steps = np.concatenate((walks[i][: keep[i]], rest[i]))
-        out.append((len(texts[i]), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), _sample(texts[i], walks[i]), _sample(other[i], steps)))
+        out.append((len(texts[i]), hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest(), _sample(texts[i], walks[i]), _sample(other[i], steps)))
     return out
 
 
@@ -224,9 +224,9 @@ def fingerprint_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
             cols: list[list] = [[] for _ in range(7)]
             for i, ((d, _, o), (n, sha, own, changed)) in enumerate(zip(held, looked, strict=True)):
                 after = looked[i + 1][2] if i + 1 < len(held) and held[i + 1][1] is o else fingerprints([o])[0] if i + 1 < len(held) else then
-                for c, v in zip(cols, (d, n, sha, own.hex(), changed.hex(), likeness(own, changed), likeness(own, after)), strict=True):
+                for c, v in zip(cols, (d, n, sha, own, changed, likeness(own, changed), likeness(own, after)), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         held, size = [], 0
@@ -239,7 +239,9 @@ def fingerprint_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
         if held:
             yield out(held)
 
-    out = scratch.keep(dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
+    # kept as bytes, given as text
+    out = scratch.keep(dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"))
+    out = out.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in out.dtypes])
     lead = scratch.keep(near_leads(scratch, out.select("doc_id", "fingerprint"), least)).withColumnRenamed("fingerprint", "_f")
     met = out.join(lead, F.col("fingerprint") == F.col("_f"), "left")
     return met.select(*out.columns, "near_lead", "lead_likeness")
