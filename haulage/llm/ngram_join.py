@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, carried, components, ship, shuffle_files_end_with_query
+from .common import Scratch, carried, components, released, ship, shuffle_files_end_with_query
 from .words import blocks, shingle_sets
 
 BITS = 512
@@ -87,7 +87,7 @@ def shingle_table(docs: DataFrame, words: int = 5, frequent: np.ndarray | None =
     """The set of every row of docs: its size, digest and bitmap, and in ``shingles`` the first ones in the common order under which it hangs, or the whole set."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_sets_job(words, frequent if frequent is not None else np.empty(0, np.uint64), need, of, whole), _SETS)
+    return rows.mapInArrow(released(_sets_job(words, frequent if frequent is not None else np.empty(0, np.uint64), need, of, whole)), _SETS)
 
 
 def frequent_shingles(docs: DataFrame, words: int = 5, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> np.ndarray:

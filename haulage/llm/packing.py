@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, running, ship
+from .common import Scratch, released, running, ship
 
 GRID = 128
 END = 1
@@ -47,8 +47,8 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Texts handed to a Python worker at once.
 SLICE = 500
 #: Characters split at once (about 50 bytes of memory each), and pieces remembered at most.
-_CHUNK = 500_000
-_REMEMBER = 1_200_000
+_CHUNK = 250_000
+_REMEMBER = 400_000
 _TABLES: dict = {}
 _ENCODERS: dict = {}
 
@@ -241,7 +241,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 narrow = [x.astype(np.uint16).tobytes() if x.max() < 65536 else x.astype(np.uint32).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, SLICE), pa.array(narrow, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "ids", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, ids binary, doc_tokens long")
 
 
 def unpack(ids: bytes, n: int) -> np.ndarray:
@@ -370,4 +370,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, grid: int = GRID) -> Da
                         cols[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols.values()], list(cols))
 
-    return joined.mapInArrow(crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(released(crc), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

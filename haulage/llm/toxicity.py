@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, released, ship
 from .words import NO_LETTER, Block, blocks
 
 #: The classifier is fitted on at most so many labelled rows of label 1 and of label 0, the first by hash of doc_id, ...
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAM
     some = first(1, sample_rows[0]).unionByName(first(0, sample_rows[1]))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most sample_rows ids
     rows = scratch.keep(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
-    counts = scratch.keep(rows.mapInArrow(_count, "feature long, with1 long, with0 long").groupBy("feature").agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0")))
+    counts = scratch.keep(rows.mapInArrow(released(_count), "feature long, with1 long, with0 long").groupBy("feature").agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0")))
     n = counts.where("feature = 0").first()
     if n is None or not n["with1"] or not n["with0"]:
         return Model()
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAM
             raw = lambda c: pa.array([getattr(x, c).astype(np.int32).tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([x.plain for x in found], pa.int64()), raw("times"), raw("size"), raw("feature")], ["toxic", "plain", "times", "size", "feature"])
 
-    got = sorted(rows.mapInArrow(put, "toxic int, plain long, times binary, size binary, feature binary").collect(), key=lambda r: (r["toxic"], r["plain"], bytes(r["feature"]), bytes(r["times"]), bytes(r["size"])))
+    got = sorted(rows.mapInArrow(released(put), "toxic int, plain long, times binary, size binary, feature binary").collect(), key=lambda r: (r["toxic"], r["plain"], bytes(r["feature"]), bytes(r["times"]), bytes(r["size"])))
     scratch.drop(rows, counts)
     y = np.array([r["toxic"] for r in got], np.int64)
     weight = tuple(there.get(x, 0) / max(1, (y == x).sum()) for x in (0, 1))
