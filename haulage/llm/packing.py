@@ -47,8 +47,8 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Texts handed to a Python worker at once.
 SLICE = 500
 #: Characters split at once (about 50 bytes of memory each), and pieces remembered at most.
-_CHUNK = 250_000
-_REMEMBER = 400_000
+_CHUNK = 500_000
+_REMEMBER = 600_000
 _TABLES: dict = {}
 _ENCODERS: dict = {}
 
