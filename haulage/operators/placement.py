@@ -128,9 +128,9 @@ def place_with_retries(tasks: DataFrame, nodes: DataFrame, task_inputs: DataFram
     is forgotten, for every task, and the task is scored again on the nodes it has not tried. NULL when all attempts fail
     or no node is left. One round an attempt, over the tasks that are still without a node.
     """
-    left, loc, tried, out = tasks, locations, None, None
+    left, inputs, loc, tried, out = tasks, task_inputs, locations, None, None
     for n in range(1, attempts + 1):
-        scored = scores(left, nodes, task_inputs, loc, datasets, rule, w, k=n)
+        scored = scores(left, nodes, inputs, loc, datasets, rule, w, k=n)
         if tried is not None:
             scored = scored.join(tried, ["task_id", "node_id"], "left_anti")
         best = cut(left.select("task_id").join(cheapest(scored).select("task_id", "node_id"), "task_id", "left"))
@@ -142,6 +142,7 @@ def place_with_retries(tasks: DataFrame, nodes: DataFrame, task_inputs: DataFram
         tried = fail if tried is None else tried.unionByName(fail)
         loc = catalog.forget(loc, fail)
         left = left.join(fail.select("task_id"), "task_id", "left_semi")
+        inputs = inputs.join(fail.select("task_id"), "task_id", "left_semi")
     return out
 
 

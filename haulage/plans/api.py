@@ -15,7 +15,7 @@ from . import flow
 
 @dataclass(frozen=True)
 class Mesh:
-    """Tables of nodes, datasets and locations; every method gives a new Mesh or a DataFrame, nothing runs before an action."""
+    """Tables of nodes, datasets and locations; every method gives a new Mesh or a DataFrame. Placement writes its few candidate nodes when asked for; tasks run with an action."""
 
     spark: SparkSession
     nodes: DataFrame
