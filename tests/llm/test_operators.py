@@ -753,13 +753,21 @@ def test_toxicity_held_out(spark):
     assert np.mean([a > b for a in one for b in zero]) > 0.85 and np.mean([s >= 0.3 for s in zero]) < 0.1
 
 
-def test_toxicity_is_noisy_or_of_sentences(spark):
+def test_toxicity_is_noisy_or_of_sentences(spark, monkeypatch):
     data = [("You are a fool. The day is fine", 1), ("The day is fine. The sea is calm", 0), ("A calm day! The fool sleeps", 1), ("Fine sea", 0)] * 6
     f = list(toxicity.features([t for t, _ in data]))
     m = toxicity.fit([a for a, _ in f], [b for _, b in f], np.array([y for _, y in data]))
+    with monkeypatch.context() as no_weak:
+        no_weak.setattr(toxicity, "WEAK", 1e-300)
+        s = toxicity.score_texts(["a calm sea. one fool here. the day is fine", "a calm sea. the day is fine", None, "", "fool. fool"], m)
+        one = [toxicity.score_texts([x], m)[0] for x in ("a calm sea.", "one fool here.", "the day is fine")]
+        assert s[0] == pytest.approx(1 - np.prod([1 - x for x in one]))
     s = toxicity.score_texts(["a calm sea. one fool here. the day is fine", "a calm sea. the day is fine", None, "", "fool. fool"], m)
     one = [toxicity.score_texts([x], m)[0] for x in ("a calm sea.", "one fool here.", "the day is fine")]
-    assert s[0] == pytest.approx(1 - np.prod([1 - x for x in one]))
+    loss = -np.log1p(-np.array(one))  # by the rule: weak sentences count as one, their mean
+    weak = np.array(one) < toxicity.WEAK
+    assert 0 < weak.sum() < len(one)
+    assert s[0] == pytest.approx(1 - np.exp(-loss[~weak].sum() - loss[weak].mean()))
     assert s[0] > 0.5 > s[1] and s[2] == s[3] == 0 and s[4] > s[0] - 0.2
     spans = toxicity.offending(spark.createDataFrame([(1, "a calm sea. one fool here. fine")], "doc_id long, text string"), m).collect()
     assert [(r.doc_id, r.start, r.end) for r in spans] == [(1, 12, 25)]
@@ -807,6 +815,27 @@ def test_toxicity_of_long_clean_texts(spark):
         assert bool(own) == (s >= 0.3)
 
 
+def test_weak_bound_is_chosen_among_learnable_rows(monkeypatch):
+    """Rows of remainder 2 are not looked at: trained on 0 and 1, judged on 3."""
+    sf = "/root/testdata/sf0.1"
+    data = duckdb.sql(f"SELECT d.doc_id, coalesce(text, ''), toxic FROM '{sf}/documents.parquet' d JOIN '{sf}/labels.parquet' l ON d.doc_id = l.doc_id WHERE toxic IS NOT NULL ORDER BY 1").fetchall()
+    rest = lambda i: zlib.crc32(str(i).encode()) % 4
+    learned, judged = [r for r in data if rest(r[0]) < 2], [r for r in data if rest(r[0]) == 3]
+    f = list(toxicity.features([t for _, t, _ in learned]))
+    m = toxicity.fit([a for a, _ in f], [b for _, b in f], np.array([y for *_, y in learned]))
+    score = lambda weak, texts: (monkeypatch.setattr(toxicity, "WEAK", weak), toxicity.score_texts(texts, m))[1]
+    toxic, clean = ([t for _, t, y in judged if y == x] for x in (1, 0))
+    plain = 1e-300
+    quiet = np.array([t for t, s in zip(clean, score(plain, clean), strict=True) if s < 0.1], object)
+    rng = np.random.default_rng(0)
+    long = ["\n".join(rng.choice(quiet, 100)) for _ in range(50)]
+    caught = {w: (score(w, toxic) >= 0.3).sum() for w in (plain, 0.005, 0.01, 0.02, 0.05, 0.1)}
+    wrong = {w: (score(w, long) >= 0.3).sum() for w in caught if caught[w] >= caught[plain]}
+    chosen = min(wrong, key=lambda w: (wrong[w], w))
+    monkeypatch.undo()
+    assert chosen == toxicity.WEAK, (caught, wrong)
+
+
 def test_toxicity_of_a_doc_id_in_many_rows(spark):
     data = [(1, "you fool"), (1, "a fool"), (2, "calm day"), (2, "calm day"), (3, "fool fool"), (4, "old fool"), (5, None), (6, ""), (None, "x")] + [(i, f"calm sea {i}") for i in range(10, 40)]
     labels = [(1, 1), (2, 0), (3, 1), (4, 1), (4, 0), (5, 0), (6, 1), (None, 1), (7, None)] + [(i, 0) for i in range(10, 40)]
