@@ -48,7 +48,7 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 SLICE = 500
 #: Characters split at once (about 50 bytes of memory each), and pieces remembered at most.
 _CHUNK = 500_000
-_REMEMBER = 600_000
+_REMEMBER = 250_000
 _TABLES: dict = {}
 _ENCODERS: dict = {}
 
