@@ -46,9 +46,11 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Texts handed to a Python worker at once.
 SLICE = 500
-#: Characters split at once (about 50 bytes of memory each), and pieces remembered at most.
+#: Characters split at once (about 50 bytes of memory each), and pieces remembered at most (about 65 bytes each).
 _CHUNK = 500_000
-_REMEMBER = 250_000
+_REMEMBER = 1_000_000
+#: Characters of new pieces that the BPE model gets at once.
+_TOGETHER = 20_000
 _TABLES: dict = {}
 _ENCODERS: dict = {}
 
@@ -112,7 +114,8 @@ class Encoder:
 
     Byte-level BPE works on each piece of the text alone, so equal pieces are encoded once: pieces are found in
     numpy, told apart by a hash that is checked character by character, and only those not met before go to the
-    tokenizer. Texts that name an added token, or have characters beyond the table, go to it whole.
+    BPE model. A chunk in which two pieces share a hash goes to the tokenizer whole, and so do texts that name an
+    added token or have characters beyond the table.
     """
 
     def __init__(self, path: str):
@@ -122,74 +125,108 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(map(re.escape, added))) if added else None  # the tokenizer cuts these out before pieces are made
+        self.bare = Tokenizer(self.tokenizer.model)  # the model alone: its input is one piece
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
-        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}  # the byte-level alphabet: hidden bytes get characters from 256 on
+        alphabet = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}  # the byte-level alphabet: hidden bytes get characters from 256 on
+        self.spelt = np.zeros((_PLAIN + 1, 2), np.uint16)  # each code point in that alphabet, and last what stands between pieces
+        for c in range(_PLAIN):
+            for i, x in enumerate(chr(c).encode()):
+                self.spelt[c, i] = alphabet[x]
+        self.spelt[_PLAIN, 0] = alphabet[0xFF]  # no UTF-8 text has this byte
+        self.between = self._between(chr(alphabet[0xFF]))
         self.clear()
 
+    def _between(self, mark: str) -> int | None:
+        """The id of what stands between pieces, if no other token has that character (then it merges with nothing)."""
+        own = self.tokenizer.get_vocab(with_added_tokens=False)
+        return own[mark] if [t for t in own if mark in t] == [mark] else None
+
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        self.begin = np.empty(1 << 18, np.int64)
-        self.size = np.empty(1 << 18, np.int64)
+        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted; where the arrays below have the piece
+        self.chars, self.char_at = np.empty(1 << 20, np.uint16), np.zeros(1, np.int64)
+        self.ids, self.id_at = np.empty(1 << 20, np.uint32), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces are final, so they go straight to the BPE model, in its alphabet of one character a byte."""
-        step, table = self.tokenizer.model.tokenize, self.alphabet
-        found = [[x.id for x in step(p.encode().decode("latin-1").translate(table))] for p in pieces]
-        n0, n = len(self.place), len(pieces)
-        size = np.fromiter(map(len, found), np.int64, n)
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while n0 + n > len(self.begin):
-            self.begin, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.begin, self.size))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n0 : n0 + n] = size
-        self.begin[n0 : n0 + n] = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        self.place.update(zip(pieces, range(n0, n0 + n), strict=True))
+    def _model(self, cp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has. Pieces are final, so they go straight to the BPE model."""
+        n, at = len(size), np.cumsum(size)
+        if self.between is None:
+            words = [self.spelt[x].ravel() for x in np.split(cp, at[:-1])]
+            found = [self.bare.encode(w[w != 0].tobytes().decode("utf-16-le"), add_special_tokens=False).ids for w in words]
+            return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, n)
+        out, counts = [], []
+        marked = np.insert(cp, at, _PLAIN)
+        ends = at + np.arange(1, n + 1)
+        lo = done = 0
+        while done < n:
+            up = max(done + 1, int(np.searchsorted(ends, lo + _TOGETHER, "right")))
+            spelt = self.spelt[marked[lo : ends[up - 1]]].ravel()
+            text = spelt[spelt != 0].tobytes().decode("utf-16-le")
+            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(ids == self.between)
+            counts.append(np.diff(stop, prepend=-1) - 1)
+            out.append(np.delete(ids, stop))
+            lo, done = int(ends[up - 1]), up
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _learn(self, h: np.ndarray, cp: np.ndarray, size: np.ndarray) -> None:
+        """Pieces not met before: their hashes in order, their characters in a row, and how many each has."""
+        ids, count = self._model(cp, size)
+        n0 = len(self.char_at) - 1
+        for name, more in (("chars", cp), ("ids", ids)):
+            have, used = getattr(self, name), int(getattr(self, name[:-1] + "_at")[-1])
+            if used + len(more) > len(have):
+                have = np.concatenate((have[:used], np.empty(max(len(have), len(more)), have.dtype)))
+                setattr(self, name, have)
+            have[used : used + len(more)] = more
+        self.char_at = np.append(self.char_at, self.char_at[-1] + np.cumsum(size))
+        self.id_at = np.append(self.id_at, self.id_at[-1] + np.cumsum(count))
+        at = np.searchsorted(self.hashes, h)
+        self.hashes = np.insert(self.hashes, at, h)
+        self.place = np.insert(self.place, at, np.arange(n0, n0 + len(h)))
 
     @staticmethod
-    def _equal(cp: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, back: np.ndarray) -> bool:
-        """Whether all pieces of one hash are the same characters."""
-        size, like = end - start, one[back]
-        if (size != size[like]).any():
-            return False
-        small = cp.astype(np.uint16)  # the table's code points are
-        at = np.repeat((start[like] - start).astype(np.intp), size)  # pieces follow each other without gaps
-        at += np.arange(len(cp))
-        return bool(np.array_equal(small, small.take(at)))
+    def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The stretches of values that begin there, in a row."""
+        at = np.repeat(begin - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        return values.take(at)
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
-        joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.concatenate(([0], np.cumsum(sizes)))
+        if not len(cp):
+            return [np.empty(0, np.uint32) for _ in texts]
         first = np.zeros(len(cp), bool)
         first[at[:-1][sizes > 0]] = True
         start = np.flatnonzero(piece_starts(cp, first))
-        end = np.append(start[1:], len(cp))
+        size = np.diff(start, append=len(cp))
         _, pow_, inv = _tables(len(cp) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CHAR[cp] * pow_[: len(cp)], dtype=np.uint64)))
-        h = (sums[end] - sums[start]) * inv[start]
-        _, one, back = np.unique(h, return_index=True, return_inverse=True)
-        if not self._equal(cp, start, end, one, back):
-            one = back = np.arange(len(start))
-        if len(self.place) > _REMEMBER:
+        h = (sums[start + size] - sums[start]) * inv[start]
+        cp = cp.astype(np.uint16)  # the table's code points are
+        h, one, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > _REMEMBER or self.char_at[-1] > 20 * _REMEMBER:
             self.clear()
-        pieces = [joined[i:j] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-        new = list(dict.fromkeys(p for p in pieces if p not in self.place))
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        begin, size = self.begin[which][back], self.size[which][back]
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate(([0], ends))[np.searchsorted(start, at)]
+        at_hash = np.searchsorted(self.hashes, h)
+        new = np.ones(len(h), bool)
+        inside = at_hash < len(self.hashes)
+        new[inside] = self.hashes[at_hash[inside]] != h[inside]
+        if new.any():
+            self._learn(h[new], self._gather(cp, start[one[new]], size[one[new]]), size[one[new]])
+            at_hash = np.searchsorted(self.hashes, h)
+        which = self.place[at_hash][back]
+        begin = self.char_at[which]
+        if not (np.array_equal(self.char_at[which + 1] - begin, size) and np.array_equal(self._gather(self.chars, begin, size), cp)):
+            return [np.array(ids, np.uint32) for ids in self._ids(texts)]
+        begin = self.id_at[which]
+        size = self.id_at[which + 1] - begin
+        flat = self._gather(self.ids, begin, size)
+        cut = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, at)]
         return [flat[cut[i] : cut[i + 1]] for i in range(len(texts))]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:

@@ -485,6 +485,22 @@ def test_encoder_tells_pieces_of_one_hash_apart(monkeypatch):
     assert [x.tolist() for x in enc.encode(texts)] == untouched(texts)
 
 
+@pytest.mark.parametrize("how", ["little memory", "small calls", "nothing between"])
+def test_encoder_forgets_and_learns_again(monkeypatch, how):
+    enc = packing.Encoder(queries.tokenizer_path())
+    assert enc.between is not None
+    if how == "little memory":
+        monkeypatch.setattr(packing, "_REMEMBER", 5)
+    if how == "small calls":
+        monkeypatch.setattr(packing, "_TOGETHER", 7)
+    if how == "nothing between":
+        enc.between = None
+    monkeypatch.setattr(packing, "_CHUNK", 300)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcé.1ÿĀ") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(30))) for _ in range(100)] + ["x" * 5000, "", None]
+    assert [x.tolist() for x in enc.encode(texts)] == untouched([t or "" for t in texts])
+
+
 def test_nnls_meets_its_conditions():
     rng = np.random.default_rng(0)
     for _ in range(20):
