@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +99,58 @@ def compressed(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"codec": np.where(keep, "deflate", "none"), "size": np.where(keep, small, raw)})
 
 
+def compress(codec: Column, data: Column) -> Column:
+    """Data in its codec: none as it is, lz4 as one block after its length (four bytes, little-endian)."""
+    return _packed(codec, data)
+
+
+def decompress(codec: Column, data: Column) -> Column:
+    """(data, error): what compress was given, or why it can't be had back."""
+    return _unpacked(codec, data)
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(codec: pd.Series, data: pd.Series) -> pd.Series:
+    lz4 = pa.Codec("lz4_raw")
+    return pd.Series([None if b is None else len(b).to_bytes(4, "little") + lz4.compress(b, asbytes=True) if c == "lz4" else b for c, b in zip(codec, data, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())]))
+def _unpacked(codec: pd.Series, data: pd.Series) -> pd.DataFrame:
+    lz4 = pa.Codec("lz4_raw")
+
+    def one(c, b):
+        if b is None or c == "none":
+            return b, None
+        if c != "lz4":
+            return None, f"unknown codec: {c}"
+        try:
+            n = int.from_bytes(b[:4], "little")
+            if len(b) < 5 or n > 255 * len(b):  # no block says more than 255 bytes a byte
+                return None, f"not a block of {n} bytes"
+            got = lz4.decompress(b[4:], n, asbytes=True)
+            return (got, None) if len(got) == n else (None, f"not a block of {n} bytes")
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
+
+    return pd.DataFrame([one(c, b) for c, b in zip(codec, data, strict=True)], columns=["data", "error"], dtype=object)
+
+
+def read_input(inputs: Column, index: Column, length: Column, memory: Column, ptr: Column) -> Column:
+    """What a module reads into its memory: (n, data); n is cut to the input's length and -1 if anything is out of bounds."""
+    data = F.when(index >= 0, F.get(inputs, index))
+    n = F.least(length, F.octet_length(data)).cast("long")
+    fits = F.coalesce((length >= 0) & (ptr >= 0) & (ptr + n <= memory), F.lit(False)) & data.isNotNull()
+    return F.struct(F.when(fits, n).otherwise(F.lit(-1).cast("long")).alias("n"), F.when(fits, F.substring(data, F.lit(1), n.cast("int"))).alias("data"))
+
+
+def check_output(packed: Column, memory: Column, most: int = 64 << 20) -> Column:
+    """A module's answer ptr << 32 | len as (ptr, len, error)."""
+    ptr, n = F.shiftrightunsigned(packed, 32), packed.bitwiseAND(F.lit(0xFFFFFFFF))
+    error = F.when(n > most, F.concat(F.lit("output of "), n.cast("string"), F.lit(f" bytes, at most {most}"))).when(ptr + n > memory, F.concat(F.lit("output outside memory: "), n.cast("string"), F.lit(" bytes at "), ptr.cast("string")))
+    return F.struct(ptr.alias("ptr"), n.alias("len"), error.alias("error"))
+
+
 def module(run: Callable[[bytes, list[bytes]], bytes], most_output: int = 64 << 20) -> Callable[[Column, Column], Column]:
     """A user module as a function of (payload, inputs): output, or an error, for each row; errors never end the query."""
 

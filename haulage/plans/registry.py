@@ -15,7 +15,7 @@ from ..functions import columns as C
 from ..functions import kinds
 from ..operators import catalog, content, control, graph, metrics, placement, queueing, state
 from ..schemas import names, portable, query, view
-from ..sources import journal
+from ..sources import config, journal
 from ..streaming import monitor
 
 CHUNK = 4096
@@ -159,6 +159,19 @@ def _(t):
     return journal.blocks(t("m_nodes").sparkSession, 100_000).groupBy("byte").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LCG = "(((state // 4294967296) * 6364136223846793005 % 4294967296) * 4294967296 + (state % 4294967296) * 6364136223846793005 + 1442695040888963407) % 18446744073709551616"
+
+
+@_add("a19b_seeded", f"WITH RECURSIVE r(i, state) AS (SELECT -1, (7::HUGEINT * 6364136223846793005 + 1) % 18446744073709551616 UNION ALL SELECT i + 1, {_LCG} FROM r WHERE i < 511), b AS (SELECT i, k, (state >> (8 * k)) & 255 AS v FROM r CROSS JOIN (SELECT unnest(range(8)) AS k) WHERE i >= 0 AND 8 * i + k < 4093) SELECT CAST(8 * i AS BIGINT) AS pos, string_agg(lower(printf('%02X', CAST(v AS INT))), '' ORDER BY k) AS data FROM b GROUP BY i")
+def _(t):
+    return journal.seeded(t("m_nodes").sparkSession, 7, 4093).select("pos", F.lower(F.hex("data")).alias("data"))
+
+
+@_add("a17_options", "SELECT * FROM (VALUES ('health', 5), ('probe', 20), ('metrics', 60), ('autoscale', 0)) AS v(name, seconds)")
+def _(t):
+    return _timers(t)
+
+
 # -- B: transfers ---------------------------------------------------------------------------------------------
 
 
@@ -229,6 +242,13 @@ def _(t):
     return _blobs(t).select("blob_id", F.octet_length("data").cast("long").alias("raw_bytes"), kinds.compressed("data").alias("c")).select("blob_id", "raw_bytes", "c.codec", F.col("c.size").alias("sent_bytes"))
 
 
+@_add("b7_round_trip", "SELECT blob_id, md5(text) AS digest, CAST(NULL AS VARCHAR) AS error FROM {m_blobs}")
+def _(t):
+    codec = F.when(F.octet_length("data") < 512, "none").otherwise("lz4")
+    sent = _blobs(t).select("blob_id", codec.alias("codec"), kinds.compress(codec, F.col("data")).alias("sent"))
+    return sent.select("blob_id", kinds.decompress(F.col("codec"), F.col("sent")).alias("r")).select("blob_id", F.md5("r.data").alias("digest"), "r.error")
+
+
 @_add("b8_traffic", f"WITH m AS ({_MOVES}) SELECT CAST(sum(CASE WHEN NOT skipped THEN size_bytes ELSE 0 END) AS BIGINT) AS raw_bytes, CAST(sum(CASE WHEN NOT skipped THEN size_bytes // 2 ELSE 0 END) AS BIGINT) AS sent_bytes, CAST(count(*) FILTER (WHERE skipped) AS BIGINT) AS skipped, CAST(sum(CASE WHEN NOT skipped THEN size_bytes - size_bytes // 2 ELSE 0 END) AS BIGINT) AS saved_bytes, CAST(sum(CASE WHEN NOT skipped THEN size_bytes // 2 ELSE 0 END) AS DOUBLE) / CAST(sum(CASE WHEN NOT skipped THEN size_bytes ELSE 0 END) AS DOUBLE) AS ratio FROM m")
 def _(t):
     return content.traffic(_moves(t).select("skipped", F.col("size_bytes").alias("raw_bytes"), F.floor(F.col("size_bytes") / 2).alias("sent_bytes")))
@@ -942,6 +962,42 @@ def _stream(name: str, build, mode: str, sql: str | None = None) -> None:
 
 _stream("m1_stream_state", lambda s, spark, d: monitor.node_state(s).select("node_id", "n", F.round("smooth", 6).alias("smooth")), "update")
 _stream("m4_known_senders", lambda s, spark, d: monitor.known_only(s, view(spark, d, "m_nodes")).select("event_id", "node_id"), "append", "SELECT event_id, node_id FROM {m_heartbeats} WHERE node_id IN (SELECT node_id FROM {m_nodes})")
+_LATE = "make_dt_interval(0, 0, 0, CAST(event_id % 60 AS DECIMAL(8, 6)))"
+_stream("m3_reply_times", lambda s, spark, d: monitor.reply_times(s.withColumnRenamed("event_id", "key"), monitor.replay(spark, d, "3650 days", _LATE).withColumnRenamed("event_id", "key"), "30 SECONDS").select("key", (F.unix_micros("replied") - F.unix_micros("asked")).alias("micros")), "append", "SELECT event_id AS key, event_id % 60 * 1000000 AS micros FROM {m_heartbeats} WHERE event_id % 60 <= 30")
+
+
+@_add("m3b_expired", "SELECT event_id AS key FROM {m_heartbeats} WHERE event_id % 60 > 30")
+def _(t):
+    asked = t("m_heartbeats").select(F.col("event_id").alias("key"), "ts")
+    return monitor.expired(asked, asked.select("key", (F.col("ts") + F.expr(_LATE.replace("event_id", "key"))).alias("ts")), "30 SECONDS").select("key")
+
+
+_REPLIES = "SELECT event_id AS seq, CASE WHEN event_id % 31 = 0 THEN NULL ELSE node_id END AS sender, CASE WHEN event_id % 97 = 0 THEN node_id + 1 ELSE node_id END AS claimed, event_id // 2 AS task_id FROM {m_heartbeats}"
+
+
+@_add(
+    "m4b_screened",
+    f"""WITH r AS ({_REPLIES}), l AS (SELECT *, min(CASE WHEN claimed <> sender THEN seq END) OVER (PARTITION BY sender) AS lie FROM r),
+h AS (SELECT *, sender IS NOT NULL AND (lie IS NULL OR seq < lie) AS heard FROM l),
+f AS (SELECT *, min(CASE WHEN heard THEN seq END) OVER (PARTITION BY task_id) AS fst FROM h)
+SELECT seq, CASE WHEN sender IS NULL THEN 'unregistered' WHEN seq = lie THEN 'impostor' WHEN NOT heard THEN 'closed' WHEN seq = fst AND task_id IN (SELECT task_id FROM {{m_tasks}}) THEN 'accepted' ELSE 'unknown or expired task' END AS verdict FROM f""",
+)
+def _(t):
+    node, seq = F.col("node_id"), F.col("event_id")
+    said = t("m_heartbeats").select(seq.alias("seq"), F.when(seq % 31 != 0, node).alias("sender"), F.when(seq % 97 == 0, node + 1).otherwise(node).alias("claimed"), F.floor(seq / 2).alias("task_id"))
+    return monitor.screen(said, t("m_tasks")).select("seq", "verdict")
+
+
+def _timers(t) -> DataFrame:
+    rows = config.parse("probe_interval_secs = 20").timers().items()
+    return _rows(t, "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {seconds})" for name, seconds in rows) + ") AS v(name, seconds)")
+
+
+@_add("m2_ticks", "SELECT name, CAST(unnest(range(0, 3601, seconds)) AS BIGINT) AS at FROM (VALUES ('health', 5), ('probe', 20), ('metrics', 60)) AS v(name, seconds)")
+def _(t):
+    return monitor.ticks(_timers(t), 3600)
+
+
 _stream("m5_tumbling", lambda s, spark, d: monitor.tumbling(s).select(F.unix_micros("start").alias("start"), "event_type", "n", "cents"), "complete", "SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start, event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM {m_heartbeats} GROUP BY 1, 2")
 _stream("m5b_sliding", lambda s, spark, d: monitor.sliding(s).select(F.unix_micros("start").alias("start"), "n"), "complete", "SELECT epoch_us(ts) // 1800000000 * 1800000000 - k * 1800000000 AS start, CAST(count(*) AS BIGINT) AS n FROM {m_heartbeats} CROSS JOIN (SELECT unnest([0, 1]) AS k) GROUP BY 1")
 _stream("m5c_sessions", lambda s, spark, d: monitor.sessions(s, "1 hour").select("node_id", F.unix_micros("start").alias("start"), "n"), "complete", "WITH a AS (SELECT node_id, epoch_us(ts) AS u, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY node_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS b FROM {m_heartbeats}), s AS (SELECT *, sum(b) OVER (PARTITION BY node_id ORDER BY u ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT node_id, min(u) AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY node_id, g")
@@ -975,6 +1031,30 @@ def _(t):
     return t("m_tasks").select("task_id", up(F.col("payload").cast("binary"), F.array().cast("array<binary>")).alias("r")).select("task_id", F.col("r.output").cast("string").alias("output"))
 
 
+_READS = """
+WITH i AS (SELECT task_id, list(sha256(CAST(data_id AS VARCHAR)) ORDER BY data_id) AS xs FROM {m_task_inputs} GROUP BY 1),
+a AS (SELECT t.task_id, CASE WHEN client % 4 >= 1 THEN xs[client % 4] END AS x, priority * 16 - 8 AS len, t.task_id % 3 * 40 AS ptr FROM {m_tasks} t LEFT JOIN i ON i.task_id = t.task_id)
+SELECT task_id, CAST(CASE WHEN ok THEN least(len, 32) ELSE -1 END AS BIGINT) AS n, CASE WHEN ok THEN substr(x, 1, 2 * least(len, 32)) END AS data
+FROM (SELECT *, x IS NOT NULL AND len >= 0 AND ptr + least(len, 32) <= 100 AS ok FROM a) q"""
+
+
+@_add("n6_read_input", _READS)
+def _(t):
+    xs = t("m_task_inputs").groupBy("task_id").agg(F.array_sort(F.collect_list("data_id")).alias("ids"))
+    inputs = F.transform("ids", lambda i: F.unhex(F.sha2(i.cast("string").cast("binary"), 256)))
+    got = kinds.read_input(inputs, (F.col("client") % 4 - 1).cast("int"), F.col("priority") * 16 - 8, F.lit(100), F.col("task_id") % 3 * 40)
+    return t("m_tasks").join(xs, "task_id", "left").select("task_id", got.alias("r")).select("task_id", "r.n", F.lower(F.hex("r.data")).alias("data"))
+
+
+_ANSWERS = "SELECT task_id, CAST(task_id % 5 AS BIGINT) * 40 AS ptr, CAST(priority * 30 AS BIGINT) AS len FROM {m_tasks}"
+
+
+@_add("n7_check_output", f"SELECT task_id, ptr, len, CASE WHEN len > 100 THEN 'output of ' || len || ' bytes, at most 100' WHEN ptr + len > 180 THEN 'output outside memory: ' || len || ' bytes at ' || ptr END AS error FROM ({_ANSWERS})")
+def _(t):
+    packed = F.shiftleft((F.col("task_id") % 5 * 40).cast("long"), 32) + F.col("priority") * 30
+    return t("m_tasks").select("task_id", kinds.check_output(packed, F.lit(180), 100).alias("r")).select("task_id", "r.*")
+
+
 @_add("n8_ascii_upper", "SELECT blob_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text FROM {m_blobs}")
 def _(t):
     return t("m_blobs").select("blob_id", C.ascii_upper(F.col("text")).alias("text"))

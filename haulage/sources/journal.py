@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,40 @@ def blocks(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i"), F.pmod(F.floor(F.col("id") / 64), F.lit(251)).cast("int").alias("byte"))
 
 
+#: Fixed values of the generator.
+STEP, SHIFT = 6364136223846793005, 1442695040888963407
+
+
+def seeded(spark: SparkSession, seed: int, size: int) -> DataFrame:
+    """size bytes of a linear congruential generator, eight to a row: position of the first, data. Rows are independent: the state at any place has a closed form."""
+    mask = 2**64 - 1
+
+    def jump(n: int) -> tuple[int, int]:
+        """n steps as one: a x + c."""
+        a, c, by, add = 1, 0, STEP, SHIFT
+        while n:
+            if n & 1:
+                a, c = a * by & mask, (c * by + add) & mask
+            by, add, n = by * by & mask, (by + 1) * add & mask, n >> 1
+        return a, c
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            a, c = jump(int(pdf["id"].iloc[0]) + 1)
+            x = np.uint64((a * (seed * STEP + 1) + c) & mask)
+            by = np.full(len(pdf), STEP, np.uint64)
+            by[0] = 1
+            by = np.multiply.accumulate(by)  # STEP ** k
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(by[:-1], dtype=np.uint64)))
+            words = (by * x + sums * np.uint64(SHIFT)).astype("<u8").tobytes()
+            at = pdf["id"].to_numpy() * 8
+            yield pd.DataFrame({"pos": at, "data": [words[8 * i : 8 * i + min(8, size - p)] for i, p in enumerate(at.tolist())]})
+
+    return spark.range(-(-size // 8)).mapInPandas(run, "pos long, data binary")
+
+
 def prometheus(metrics: DataFrame) -> DataFrame:
     """(name, help, kind, labels, value) to one text in the exposition format."""
     line = F.concat("name", F.when(F.col("labels") != "", F.concat(F.lit("{"), "labels", F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"))

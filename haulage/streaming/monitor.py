@@ -13,10 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 HEARTBEAT = "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string"
 
 
-def replay(spark: SparkSession, sf_dir: str, late: str = "10 minutes") -> DataFrame:
-    """The events table as a stream of heartbeats with a watermark."""
+def replay(spark: SparkSession, sf_dir: str, late: str = "10 minutes", delay: str = "INTERVAL 0 SECONDS") -> DataFrame:
+    """The events table as a stream of heartbeats with a watermark, each later by a delay (SQL over its columns)."""
     s = spark.readStream.schema(HEARTBEAT).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return s.select("event_id", F.col("user_id").alias("node_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", late)
+    return s.select("event_id", F.col("user_id").alias("node_id"), (F.col("ts").cast("timestamp") + F.expr(delay)).alias("ts"), "event_type", "value").withWatermark("ts", late)
 
 
 def tumbling(beats: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -57,6 +57,38 @@ def reply_times(requests: DataFrame, replies: DataFrame, within: str) -> DataFra
     return q.join(replies.select("key", "ts"), F.expr(f"key = qk AND ts >= asked AND ts <= asked + INTERVAL {within}")).select("key", "asked", F.col("ts").alias("replied"))
 
 
+def expired(requests: DataFrame, replies: DataFrame, within: str) -> DataFrame:
+    """Requests without a reply of the same key within a time."""
+    q = requests.select(F.col("key").alias("qk"), F.col("ts").alias("asked"))
+    return q.join(replies.select("key", "ts"), F.expr(f"key = qk AND ts >= asked AND ts <= asked + INTERVAL {within}"), "left_anti").select(F.col("qk").alias("key"), "asked")
+
+
+def screen(replies: DataFrame, pending: DataFrame) -> DataFrame:
+    """Verdict on replies (seq, sender, claimed, task_id) of senders' connections, in order of seq.
+
+    A sender is taken at its word until it claims another's node: that reply is an impostor's and closes the
+    connection, so all later ones are lost. A task's first good reply is accepted if the task is pending; later
+    ones find it gone.
+    """
+    lies = replies.where("claimed <> sender").groupBy("sender").agg(F.min("seq").alias("lie"))
+    heard = replies.join(lies, "sender", "left").withColumn("heard", F.coalesce(F.col("seq") < F.col("lie"), F.col("sender").isNotNull()))
+    first = heard.where("heard").groupBy("task_id").agg(F.min("seq").alias("first")).join(pending.select("task_id").distinct(), "task_id", "left_semi")
+    verdict = (
+        F.when(F.col("sender").isNull(), "unregistered").when(F.col("seq") == F.col("lie"), "impostor").when(~F.col("heard"), "closed").when(F.col("seq") == F.col("first"), "accepted").otherwise("unknown or expired task")
+    )
+    return heard.join(first, "task_id", "left").select("seq", "sender", "claimed", "task_id", verdict.alias("verdict"))
+
+
+def trigger(seconds: int) -> dict | None:
+    """What writeStream.trigger takes for a timer; None where it is off."""
+    return {"processingTime": f"{seconds} seconds"} if seconds > 0 else None
+
+
+def ticks(timers: DataFrame, until: int) -> DataFrame:
+    """When timers (name, seconds) fire in the seconds 0 to until, the first time at once; 0 seconds is off."""
+    return timers.where("seconds > 0").select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(until).cast("long"), F.col("seconds").cast("long"))).alias("at"))
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there now and return its table (for replays and tests: a memory sink)."""
     name = f"drained_{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from haulage.operators import catalog, content, control, graph, metrics, placeme
 from haulage.plans import flow, registry
 from haulage.plans.api import Mesh
 from haulage.schemas import view
-from haulage.sources import journal
+from haulage.sources import config, journal
 from haulage.streaming import monitor
 
 NODE = "node_id long, cpu_cores int, cpu_usage double, memory_usage double, bandwidth long, latency_ms double, gpu string"
@@ -370,3 +370,45 @@ def test_stream_join_of_requests_and_replies(spark, tmp_path):
         spark.createDataFrame(rows, "key long, at string").select("key", F.to_timestamp("at").alias("ts")).write.parquet(str(tmp_path / name))
     s = lambda name: spark.readStream.schema("key long, ts timestamp").parquet(str(tmp_path / name)).withWatermark("ts", "1 minute")
     assert [r.key for r in monitor.drain(monitor.reply_times(s("q"), s("r"), "30 seconds"), "append").collect()] == [1]
+
+
+def test_options_from_text_and_session(spark, tmp_path):
+    assert config.load(None) == config.Options()
+    path = tmp_path / "o.toml"
+    path.write_text('max_queue_size = 7\nqueue_rejection = "drop_oldest"')
+    assert config.load(str(path)).max_queue_size == 7
+    for bad in ("nonsense = 1", "max_queue_size = 'x'", "max_queue_size = -1", "queue_rejection = 'x'", "a ="):
+        with pytest.raises(config.ConfigError):
+            config.parse(bad)
+    with pytest.raises(FileNotFoundError):
+        config.load(str(tmp_path / "none"))
+    spark.conf.set("haulage.max_queue_size", "3")
+    try:
+        assert config.from_session(spark).max_queue_size == 3
+    finally:
+        spark.conf.unset("haulage.max_queue_size")
+    assert monitor.trigger(0) is None and monitor.trigger(5) == {"processingTime": "5 seconds"}
+
+
+def test_seeded_bytes_follow_the_generator(spark):
+    state, want = (2**63 * journal.STEP + 1) % 2**64, b""
+    while len(want) < 30_001:
+        state = (state * journal.STEP + journal.SHIFT) % 2**64
+        want += state.to_bytes(8, "little")
+    got = b"".join(bytes(r.data) for r in journal.seeded(spark, 2**63, 30_001).orderBy("pos").collect())
+    assert got == want[:30_001] and journal.seeded(spark, 1, 0).count() == 0
+
+
+def test_broken_blocks_are_errors(spark):
+    df = spark.createDataFrame([("lz4", b"\xff\xff\xff\xff1"), ("lz4", b""), ("zip", b"x"), ("none", b"x"), ("lz4", None), ("lz4", b"\x05\0\0\0zzzz")], "c string, b binary")
+    got = [(r.r.data, r.r.error is None) for r in df.select(kinds.decompress(F.col("c"), F.col("b")).alias("r")).collect()]
+    assert [x[1] for x in got] == [False, False, False, True, True, False] and bytes(got[3][0]) == b"x" and got[4][0] is None
+    back = spark.createDataFrame([(b"",), (b"a" * 100_000,)], "b binary").select(kinds.decompress(F.lit("lz4"), kinds.compress(F.lit("lz4"), F.col("b"))).alias("r")).collect()
+    assert [bytes(r.r.data) for r in back] == [b"", b"a" * 100_000]
+
+
+def test_screen_closes_a_liars_connection(spark):
+    said = spark.createDataFrame([(1, 1, 1, 10), (2, 1, 2, 11), (3, 1, 1, 12), (4, 2, 2, 10), (5, None, 2, 11), (6, 2, 2, 99), (7, 2, 2, 12)], "seq long, sender long, claimed long, task_id long")
+    pending = spark.createDataFrame([(10,), (11,), (12,)], "task_id long")
+    want = ["accepted", "impostor", "closed", "unknown or expired task", "unregistered", "unknown or expired task", "accepted"]
+    assert [r.verdict for r in monitor.screen(said, pending).orderBy("seq").collect()] == want
