@@ -2,8 +2,8 @@
 
 Two multinomials over hashed byte n-grams: one of all documents (raw corpus), one of trusted ones (target).
 A document's verdict is the mean of log p_target - log p_raw over its n-grams, against a threshold that is
-set once from labelled rows. The corpus counts cover every document; only the labelled rows are a bounded
-sample.
+set once from labelled rows. The counts cover every document and every trusted one, the threshold every labelled
+row: nothing is a sample.
 
 Nulls: a null text has no words and fails the base rules. Empty texts likewise. Repeated rows get equal
 verdicts; a ratio equal to the threshold is kept. With no trusted row the ratio is 0 for all and the threshold
@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, ship, unpacked
+from .common import Scratch, carried, running, shuffle_files_end_with_query, ship, unpacked
 from .words import Block, blocks
 
 SLOT_BITS = 18
 GRAM = 4
-#: At most so many labelled rows are taken, the first by hash of their doc_id, ...
-SAMPLE_ROWS = 20_000
-#: ... and of the trusted among them at least this share must pass the threshold.
+#: Of the trusted rows at least this share must pass the threshold.
 TRUSTED_PASS = 0.997
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -104,50 +102,61 @@ def base_features(texts: list[str | None]) -> pd.DataFrame:
     return pd.DataFrame(cols)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row of docs with a label. Both sides are shuffled, whatever their size, so that no worker has to hold all labels."""
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")  # at most sample_rows ids
+    return docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, trusted_pass: float = TRUSTED_PASS) -> Model:
-    """docs: doc_id, text; labels: doc_id, quality (1: trusted). One pass counts, one scores the labelled rows."""
-    ship(docs.sparkSession)
-    rows = _labelled(docs, labels, sample_rows)
+def _counts(rows: DataFrame) -> np.ndarray:
+    """The n-grams of all texts by slot."""
 
     def count(batches):
-        raw = np.zeros(1 << SLOT_BITS, np.int64)
-        target = np.zeros(1 << SLOT_BITS, np.int64)
+        n = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            texts = np.array(batch.column("text").to_pylist(), object)
-            good = batch.column("quality").to_pandas().to_numpy() == 1
-            t = count_grams(list(texts[good]))
-            target += t
-            raw += t + count_grams(list(texts[~good]))
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["slot", "raw", "target"])
-
-    counts = rows.select("text", "quality").mapInArrow(count, "slot long, raw long, target long").groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most 2**SLOT_BITS rows
-    raw, target = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
-    for r in counts:
-        raw[r["slot"]], target[r["slot"]] = r["raw"], r["target"]
-    model = Model(log_ratio(target, raw).astype(np.float32), -np.inf)
-    got = rows.where("quality is not null and text is not null").select("quality", _ratio(docs, model, F.col("text")).alias("r")).collect()
-    model.threshold = pick(np.array([r["r"] for r in got]), np.array([r["quality"] for r in got]), trusted_pass)
+            n += count_grams(batch.column("text").to_pylist())
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most 2**SLOT_BITS rows
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, trusted_pass: float = TRUSTED_PASS) -> Model:
+    """docs: doc_id, text; labels: doc_id, quality (1: trusted). One pass counts all rows, one the trusted ones, one scores the labelled ones."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = _labelled(docs, labels)
+    with shuffle_files_end_with_query(spark):
+        model = Model(log_ratio(_counts(rows.where("quality = 1")), _counts(docs)).astype(np.float32), -np.inf)
+    scored = rows.where("quality in (0, 1) and text is not null").select("quality", _ratio(docs, model, F.col("text")).alias("r"))
+    model.threshold = pick(Scratch(spark, "quality"), scored, trusted_pass)
     return model
 
 
-def pick(ratio: np.ndarray, good: np.ndarray, trusted_pass: float) -> float:
-    """The border that tells good from bad rows best (share right of either), among those that let trusted_pass of the good through."""
-    if not len(ratio) or not (good == 1).any() or not (good == 0).any():
+def pick(scratch: Scratch, rows: DataFrame, trusted_pass: float) -> float:
+    """The border that tells good from bad rows best (share right of either), among those that let trusted_pass of the good through.
+
+    rows: quality 0 or 1, r. Equal ratios are one row, and all of them are ranked in tables; of equal borders the lowest is taken.
+    """
+    by = scratch.keep(rows.groupBy("r").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad")).withColumn("all", F.lit(0)))
+    n = by.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not n["good"] or not n["bad"]:
+        scratch.drop(by)
         return -np.inf
-    g, bad = np.sort(ratio[good == 1]), np.sort(ratio[good == 0])
-    cuts = np.unique(np.concatenate((g, bad)))
-    cuts = np.concatenate(([cuts[0] - 1.0], (cuts[1:] + cuts[:-1]) / 2))
-    kept = 1 - np.searchsorted(g, cuts) / len(g)
-    right = kept + np.searchsorted(bad, cuts) / len(bad)
-    right[kept < trusted_pass] = -1
-    return float(cuts[int(np.argmax(right))])
+    goods = running(scratch, by, ["all"], ["r"], "good")
+    both = running(scratch, goods.select("all", "r", "bad", F.col("_before").alias("lost")), ["all"], ["r"], "bad")
+    kept = 1 - F.col("lost") / n["good"]
+    right = kept + F.col("_before") / n["bad"]
+    best = -both.where(kept >= trusted_pass).agg(F.max(F.struct(right.alias("right"), (-F.col("r")).alias("r"))).alias("m")).first()["m"]["r"]
+    under = by.where(F.col("r") < best).agg(F.max("r").alias("r")).first()["r"]
+    scratch.drop(by, goods._dealt, both._dealt)
+    if under is None:
+        return best - 1.0
+    cut = (under + best) / 2
+    return cut if cut > under else best
 
 
 def _ratio(docs: DataFrame, model: Model, text: Column) -> Column:

@@ -747,6 +747,40 @@ def _poly(b):
     return h
 
 
+def best_cut(ratio, good, trusted_pass):
+    """The border by trying every one."""
+    g, bad = np.sort(ratio[good == 1]), np.sort(ratio[good == 0])
+    values = np.unique(ratio)
+    cuts = [values[0] - 1.0, *((values[1:] + values[:-1]) / 2)]
+    share = [(1 - np.searchsorted(g, c) / len(g), np.searchsorted(bad, c) / len(bad)) for c in cuts]
+    return cuts[int(np.argmax([k + b if k >= trusted_pass else -1 for k, b in share]))]
+
+
+def test_quality_learns_from_every_label(spark):
+    n = 21_000  # beyond any sample of 20,000
+    text = "concat('t', hex(hash(id)), if(id % 3 = 0, ' good word ', ' bad one '), id, if(id % 50 = 7, ' good word', ''))"
+    docs = spark.range(n + 500).selectExpr("id as doc_id", f"if(id % 100 = 9, null, {text}) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "if(id % 3 = 0, 1, 0) as quality")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    model = quality.train(docs, labels, trusted_pass=0.9)
+    want = quality.log_ratio(quality.count_grams(texts[:n:3]), quality.count_grams(texts)).astype(np.float32)
+    assert (model.ratio == want).all()
+    there = [i for i in range(n) if texts[i] is not None]
+    ratio = quality.ratios([texts[i] for i in there], want)
+    assert model.threshold == pytest.approx(best_cut(ratio, np.array([i % 3 == 0 for i in there]).astype(int), 0.9), abs=1e-12)
+
+
+def test_quality_threshold_is_brute_force(spark):
+    rng = np.random.default_rng(3)
+    for share in (0.5, 0.9, 0.997):
+        data = [(int(q), float(r)) for q, r in zip(rng.integers(0, 2, 400), rng.integers(-20, 20, 400) / 8)] + [(1, 2.0)] * 300
+        got = quality.pick(Scratch(spark, "t"), spark.createDataFrame(data, "quality int, r double"), share)
+        assert got == best_cut(np.array([r for _, r in data]), np.array([q for q, _ in data]), share)
+    near = [(0, 1.0), (1, float(np.nextafter(1.0, 2.0)))]  # no number lies between
+    assert quality.pick(Scratch(spark, "t"), spark.createDataFrame(near, "quality int, r double"), 0.9) == near[1][1]
+    assert quality.pick(Scratch(spark, "t"), spark.createDataFrame(near[1:], "quality int, r double"), 0.9) == -np.inf
+
+
 def test_quality_of_odd_rows(odd, docs, spark, none):
     labels = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")
     model = quality.train(docs.select("doc_id", "text"), labels)
