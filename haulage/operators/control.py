@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fold import in_order
+
 
 def ratio(kind: Column, value: Column, nodes: Column, depth: Column, cpu: Column, wait: Column) -> Column:
     """How far the mesh is from its target: 1 is on target. Targets have floors, so that none divides by 0."""
@@ -28,17 +29,22 @@ def decide_in_order(signals: DataFrame, group: str, cooldown: int, **policy) ->
     """The same, but a change starts a clock during which nothing is decided: an ordered fold for each group."""
     d = decide(signals, **policy)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        last, out = None, []
-        for at, action in pdf[["at", "action"]].itertuples(index=False):
-            cooling = last is not None and at - last < cooldown
-            out.append("none" if cooling else action)
-            if not cooling and action != "none":
-                last = at
-        return pd.DataFrame({group: pdf[group], "at": pdf["at"], "action": out})
-
-    return d.select(group, "at", "action").groupBy(group).applyInPandas(fold, f"{group} long, at long, action string")
+    def start():
+        last = None
+
+        def step(rows):
+            nonlocal last
+            out = []
+            for at, action in zip(rows["at"], rows["action"], strict=True) if rows else ():
+                cooling = last is not None and at - last < cooldown
+                out.append((at, "none" if cooling else action))
+                if not cooling and action != "none":
+                    last = at
+            return out
+
+        return step
+
+    return in_order(d.select(group, "at", "action"), group, ["at"], start, f"{group} long, at long, action string")
 
 
 def regressions(baseline: DataFrame, current: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """What must not grow faster than the input: pairs, rows of one task, rows in the driver."""
 
+import random
+
 import duckdb
 import pytest
 
-from haulage.operators import placement
+from haulage.operators import fold, placement, queueing
 from haulage.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +41,66 @@ def test_the_frontier_keeps_k_of_alike_nodes(spark):
     can = spark.createDataFrame(rows, "constraint_text string, cpu_usage double, memory_usage double, node_id long, bandwidth long, latency_ms double")
     for k in (1, 2, 3):
         assert sorted(r.node_id for r in placement.frontier(can, placement.Weights(), k).collect()) == [i + 5 * j for j in range(k) for i in range(5)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["h10_simulated_queue"])
+def test_a_group_is_streamed(spark, name):
+    assert "FlatMapGroupsInPandas" not in plan(registry.queries()[name](spark, SF))
+
+
+def test_a_step_sees_batches(spark):
+    def start():
+        return lambda rows: [(-1, 0)] if rows is None else [(rows["x"][0], len(rows["x"]))]
+
+    df = spark.range(25_000).selectExpr("id % 2 AS g", "-id AS x")
+    got = fold.in_order(df, "g", ["x"], start, "g long, first long, n long").collect()
+    for g in (0, 1):
+        mine = [(r["first"], r.n) for r in got if r.g == g]
+        assert mine[0][0] == -24_998 - g
+        assert sum(n for _, n in mine) == 12_500 and mine[-1] == (-1, 0) and len(mine) >= 3
+
+
+def test_queues_equal_plain_ones(spark):
+    rng = random.Random(5)
+    q = [(g, 1000 * g + i, rng.randrange(5), at, i) for g in range(3) for i, at in enumerate(rng.randrange(200) for _ in range(60))]
+    df = spark.createDataFrame(q, "g long, task_id long, priority int, at long, seq long")
+    level = lambda r, t, aging: min(4, r[2] + ((t - r[3]) // aging if aging else 0))
+    for most, aging in ((3, 0), (4, 20), (0, 15)):
+        fate, ran = {}, {}
+        for g in range(3):
+            held = []
+            for r in sorted((r for r in q if r[0] == g), key=lambda r: r[4]):
+                fate[r[1]] = "held"
+                if not most or len(held) < most:
+                    held.append(r)
+                    continue
+                low = min(held, key=lambda h: (level(h, r[3], aging), h[4]))
+                if r[2] > level(low, r[3], aging):
+                    fate[low[1]] = "displaced"
+                    held = [h for h in held if h is not low] + [r]
+                else:
+                    fate[r[1]] = "refused"
+            rows, held = sorted((r for r in q if r[0] == g), key=lambda r: (r[3], r[4])), []
+            clock = rows[0][3]
+
+            def pop(t, held=held, rows=rows):
+                best = max(held, key=lambda h: (level(h, t, aging), -rows.index(h)))
+                held.remove(best)
+                ran[best[1]] = t
+
+            for r in rows:
+                while held and clock <= r[3]:
+                    pop(clock)
+                    clock += 7
+                clock = clock if held else max(clock, r[3])
+                if not most or len(held) < most:
+                    held.append(r)
+            while held:
+                pop(clock)
+                clock += 7
+        assert {r.task_id: r.fate for r in queueing.admit_drop_lowest(df, "g", most, aging).collect()} == fate
+        assert {r.task_id: r.ran_at for r in queueing.simulate(df, "g", most, aging, 7).collect()} == {r[1]: ran.get(r[1]) for r in q}
