@@ -106,7 +106,7 @@ def test_queues_equal_plain_ones(spark):
         assert {r.task_id: r.ran_at for r in queueing.simulate(df, "g", most, aging, 7).collect()} == {r[1]: ran.get(r[1]) for r in q}
 
 
-@pytest.mark.parametrize("name", ["m5c_sessions"])
+@pytest.mark.parametrize("name", ["m5c_sessions", "m4_known_senders"])
 def test_a_drained_stream_lies_in_files(spark, name):
     df = registry.queries()[name](spark, SF)
     assert df.count() and "FileScan parquet" in plan(df)
