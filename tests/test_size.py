@@ -110,3 +110,10 @@ def test_queues_equal_plain_ones(spark):
 def test_a_drained_stream_lies_in_files(spark, name):
     df = registry.queries()[name](spark, SF)
     assert df.count() and "FileScan parquet" in plan(df)
+
+
+@pytest.mark.parametrize("name", ["h2_pop_order"])
+def test_the_queue_is_not_sorted_by_one_task(spark, name):
+    p = plan(registry.queries()[name](spark, SF))
+    assert "row_number() windowspecdefinition(_lead" in p and "row_number() windowspecdefinition(o_orderdate" not in p
+    assert name != "h2_pop_order" or "windowspecdefinition(effective" not in p
