@@ -117,3 +117,8 @@ def test_the_queue_is_not_sorted_by_one_task(spark, name):
     p = plan(registry.queries()[name](spark, SF))
     assert "row_number() windowspecdefinition(_lead" in p and "row_number() windowspecdefinition(o_orderdate" not in p
     assert name != "h2_pop_order" or "windowspecdefinition(effective" not in p
+
+
+def test_the_spread_reaches_its_one_task_packed(spark):
+    p = plan(registry.queries()["e7_spread"](spark, SF))
+    assert p.count("MapInArrow") == 2 and "rangepartitioning(task_id" in p
