@@ -47,7 +47,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["h10_simulated_queue", "i1_lru"])
+@pytest.mark.parametrize("name", ["h10_simulated_queue", "i1_lru", "h6_drop_lowest", "i2b_bounded_cache"])
 def test_a_group_is_streamed(spark, name):
     assert "FlatMapGroupsInPandas" not in plan(registry.queries()[name](spark, SF))
 
