@@ -112,7 +112,7 @@ def test_a_drained_stream_lies_in_files(spark, name):
     assert df.count() and "FileScan parquet" in plan(df)
 
 
-@pytest.mark.parametrize("name", ["h2_pop_order", "h2b_next_up", "h4_reject"])
+@pytest.mark.parametrize("name", ["h2_pop_order", "h2b_next_up", "h4_reject", "h5_drop_oldest"])
 def test_the_queue_is_not_sorted_by_one_task(spark, name):
     p = plan(registry.queries()[name](spark, SF))
     assert "row_number() windowspecdefinition(_lead" in p and "row_number() windowspecdefinition(o_orderdate" not in p
