@@ -122,3 +122,9 @@ def test_the_queue_is_not_sorted_by_one_task(spark, name):
 def test_the_spread_reaches_its_one_task_packed(spark):
     p = plan(registry.queries()["e7_spread"](spark, SF))
     assert p.count("MapInArrow") == 2 and "rangepartitioning(task_id" in p
+
+
+@pytest.mark.parametrize("name", ["d5_local_bytes"])
+def test_pairs_are_not_shuffled(spark, name):
+    p = plan(registry.queries()[name](spark, SF))
+    assert "Exchange" not in p[: p.index("Generate explode(")].replace("BroadcastExchange", "")
