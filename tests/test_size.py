@@ -21,7 +21,7 @@ def many_nodes(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["e6_retry_rank", "e4_place_advanced"])
+@pytest.mark.parametrize("name", ["e6_retry_rank", "e4_place_advanced", "b1_transfers_needed"])
 def test_alike_nodes_make_no_more_pairs(spark, many_nodes, monkeypatch, name):
     seen, whole = [], placement.candidates
 
