@@ -21,7 +21,7 @@ def many_nodes(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["e6_retry_rank", "e4_place_advanced", "b1_transfers_needed", "b3_single_flight", "b8_traffic", "b9_output_retention", "f10_nodes_used"])
+@pytest.mark.parametrize("name", ["e6_retry_rank", "e4_place_advanced", "b1_transfers_needed", "b3_single_flight", "b8_traffic", "b9_output_retention", "f10_nodes_used", "e3_score_terms"])
 def test_alike_nodes_make_no_more_pairs(spark, many_nodes, monkeypatch, name):
     seen, whole = [], placement.candidates
 
