@@ -124,7 +124,7 @@ def test_the_spread_reaches_its_one_task_packed(spark):
     assert p.count("MapInArrow") == 2 and "rangepartitioning(task_id" in p
 
 
-@pytest.mark.parametrize("name", ["d5_local_bytes", "e2_place_locality"])
+@pytest.mark.parametrize("name", ["d5_local_bytes", "e2_place_locality", "d8_missing_bytes"])
 def test_pairs_are_not_shuffled(spark, name):
     p = plan(registry.queries()[name](spark, SF))
     assert "Exchange" not in p[: p.index("Generate explode(")].replace("BroadcastExchange", "")
